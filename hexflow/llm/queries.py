@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from hexflow.llm import decontaminate
+from hexflow.llm import decontaminate, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
+    "op6_pattern_grammar": toxicity.op6_pattern_grammar,
+    "op8_merge_dropout": sentencepiece_dropout.op8_merge_dropout,
 }
 
 ORACLE_SQL = {
