@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hexflow.llm import decontaminate, sentencepiece_dropout, toxicity
+from hexflow.llm import decontaminate, line_dedup, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
     "op6_pattern_grammar": toxicity.op6_pattern_grammar,
     "op8_merge_dropout": sentencepiece_dropout.op8_merge_dropout,
+    "op9_prefix_filter": line_dedup.op9_prefix_filter,
 }
 
 ORACLE_SQL = {
