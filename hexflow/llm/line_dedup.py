@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
+from hexflow.llm.shared import shared_dir
 
 MIN_WORDS = 5
 
@@ -58,6 +59,7 @@ def line_sets(batch: pa.RecordBatch):
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, th, lines``: the numbers (from 0) of the lines that go, for each text that loses any."""
+    shared_dir(docs.sparkSession)
     given = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = sets.survivors(given, line_sets).checkpoint()
     place = F.struct("id", "th", "line")

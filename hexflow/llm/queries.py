@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hexflow.llm import decontaminate, line_dedup, sentencepiece_dropout, toxicity
+from hexflow.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
     "op6_pattern_grammar": toxicity.op6_pattern_grammar,
+    "op7_heavy_light": jaccard_join.op7_heavy_light,
     "op8_merge_dropout": sentencepiece_dropout.op8_merge_dropout,
     "op9_prefix_filter": line_dedup.op9_prefix_filter,
 }

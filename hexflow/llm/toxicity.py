@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.llm import text as T
+from hexflow.llm.shared import shared_dir
 
 #: Most labelled documents that lexicon and weights are learned from.
 SAMPLE = 20_000
@@ -208,6 +209,7 @@ def _terms(text: str) -> set[str]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """A grammar from at most ``SAMPLE`` labelled documents."""
+    shared_dir(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # the bound of the broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic").checkpoint()
