@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexflow.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_dropout, toxicity
+from hexflow.llm import context_tree, decontaminate, jaccard_join, line_dedup, sentencepiece_dropout, toxicity
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_heavy_light": jaccard_join.op7_heavy_light,
     "op8_merge_dropout": sentencepiece_dropout.op8_merge_dropout,
     "op9_prefix_filter": line_dedup.op9_prefix_filter,
+    "op10_context_tree": context_tree.op10_context_tree,
 }
 
 ORACLE_SQL = {
