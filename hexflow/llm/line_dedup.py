@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import release, shared_dir
 
 MIN_WORDS = 5
 
@@ -62,8 +62,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared_dir(docs.sparkSession)
     given = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = sets.survivors(given, line_sets).checkpoint()
+    release(docs.sparkSession)
     place = F.struct("id", "th", "line")
     classes = lines.groupBy("sig").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
+    release(docs.sparkSession)
     entries = sets.postings(classes, ("at",))
 
     first = entries.groupBy("key").agg(F.min(F.struct("at", "sig", "n", "most")).alias("first"), F.count("*").alias("size")).where("size > 1")
@@ -71,6 +73,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     early = entries.join(first, "key").where(fits & (F.col("first.at") < F.col("at")))
     early = early.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("first.at", "first.sig")).alias("first")).select(F.col("first.sig").alias("a"), "b")
     found = sets.verified(early, classes).select("b").checkpoint()
+    release(docs.sparkSession)
 
     open_ = entries.join(found.select(F.col("b").alias("sig")), "sig", "left_anti")
     x, y = open_.alias("x"), entries.alias("y")
@@ -78,7 +81,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rest.select(F.col("y.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
     gone = found.union(sets.verified(rest, classes).select("b")).distinct().select(F.col("b").alias("sig"), F.lit(True).alias("gone"))
 
-    status = classes.select("sig", "at").join(gone, "sig", "left")
+    status = classes.select("sig", "at").join(gone, "sig", "left").checkpoint()
+    release(docs.sparkSession)
     out = lines.select("sig", "id", "th", "line").join(status, "sig").where(F.coalesce("gone", F.lit(False)) | (place != F.col("at")))
     return out.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
