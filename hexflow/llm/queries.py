@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hexflow.llm import context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, toxicity, urls
+from hexflow.llm import ann, context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, toxicity, urls
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
     "op2_style_tree": html_extract.op2_style_tree,
+    "op3_adaptive_scan": ann.op3_adaptive_scan,
     "op4_bilstm_crf": pii.op4_bilstm_crf,
     "op5_markov_ratio": urls.op5_markov_ratio,
     "op6_pattern_grammar": toxicity.op6_pattern_grammar,
