@@ -89,7 +89,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that match an earlier one."""
-    gone = removed_lines(docs, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines"))
+    gone = removed_lines(docs, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines")).checkpoint()
+    release(docs.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     at = docs.columns.index(text_col)
     row = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], F.struct(*_key(id_col, text_col)).alias("_place"))

@@ -54,6 +54,25 @@ def sketch(tokens: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, n
 Units = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
+#: Packed rows: a bucket's tokens of a sender (size: how many), or the sender's sets (size: -1).
+NAMES = ["bucket", "sender", "size", "packed"]
+ROW = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def _forty(packed: np.ndarray, n: int) -> np.ndarray:
+    return packed[: 4 * n].view(np.uint32).astype(np.uint64) | (packed[4 * n : 5 * n].astype(np.uint64) << np.uint64(32))
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as steps of one byte, or of two where one is too small."""
+    steps = np.diff(places.astype(np.int64), prepend=0)
+    return steps.astype(np.uint8 if steps.max() < 256 else np.uint16).tobytes()
+
+
+def _places(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.cumsum(packed if len(packed) == n else packed.copy().view(np.uint16), dtype=np.int64).astype(np.uint16)
+
+
 def survivors(given: DataFrame, units: Units) -> DataFrame:
     """The sets that can have a partner: ``id, th, line, n, sig, tokens``.
 
@@ -86,12 +105,12 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
             end = np.concatenate([cut[1:], [len(bucket)]])
             name = (task << 24) | k
-            rows = [(int(name % n_buckets), name, True, np.concatenate(sets, axis=1).astype(np.int64).tobytes())]
+            rows = [(int(name % n_buckets), name, -1, np.concatenate(sets, axis=1).astype(np.int64).tobytes())]
             low, high = t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint8)
-            rows += [(int(bucket[a]), name, False, low[a:b].tobytes() + high[a:b].tobytes() + o[a:b].tobytes()) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]
+            rows += [(int(bucket[a]), name, b - a, low[a:b].tobytes() + high[a:b].tobytes() + _steps(o[a:b])) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]
             held, tokens, items, k = [], 0, 0, k + 1
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary())], names=["bucket", "sender", "sets", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ROW, strict=True)], names=NAMES)
 
         for batch in batches:
             for unit in units(batch):
@@ -105,35 +124,34 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        senders, is_sets, packed = (table.column(c).to_pylist() for c in ("sender", "sets", "packed"))
-        out = [(s, True, p) for s, x, p in zip(senders, is_sets, packed, strict=True) if x]
-        parts = [(s, np.frombuffer(p, np.uint8)) for s, x, p in zip(senders, is_sets, packed, strict=True) if not x]
+        rows = list(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
+        out = [r for r in rows if r[2] < 0]
+        parts = [(s, n, np.frombuffer(p, np.uint8)) for _, s, n, p in rows if n >= 0]
         if parts:
-            sizes = [len(p) // 7 for _, p in parts]
-            t = np.concatenate([p[: 4 * n].view(np.uint32).astype(np.uint64) | (p[4 * n : 5 * n].astype(np.uint64) << np.uint64(32)) for (_, p), n in zip(parts, sizes, strict=True)])
+            t = np.concatenate([_forty(p, n) for _, n, p in parts])
             _, back, counts = np.unique(t, return_inverse=True, return_counts=True)
             df = counts[back]
-            full = (t << np.uint64(24)) | np.uint64(table.column("bucket")[0].as_py())
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            for (s, p), n, a in zip(parts, sizes, at, strict=False):
+            at = np.cumsum([0, *(n for _, n, _ in parts)])
+            for (s, n, p), a in zip(parts, at, strict=False):
                 keep = np.flatnonzero(df[a : a + n] > 1)
                 if len(keep):
-                    own = p[5 * n :].copy().view(np.uint16)[keep]
-                    out.append((s, False, full[a : a + n][keep].tobytes() + df[a : a + n][keep].astype(np.uint32).tobytes() + own.tobytes()))
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["sender", "sets", "packed"])
+                    # rarity only orders the tokens, alike in all sets: beyond 65535 it need not tell them apart
+                    often = np.minimum(df[a : a + n][keep], 65535).astype(np.uint16)
+                    low, high = p[: 4 * n].view(np.uint32)[keep], p[4 * n : 5 * n][keep]
+                    out.append((rows[0][0], s, len(keep), low.tobytes() + high.tobytes() + often.tobytes() + _steps(_places(p[5 * n :], n)[keep])))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, ROW, strict=True)], names=NAMES)
 
     def gather(table: pa.Table) -> pa.Table:
-        is_sets, packed = table.column("sets").to_pylist(), table.column("packed").to_pylist()
-        sets = np.frombuffer(next(p for x, p in zip(is_sets, packed, strict=True) if x), np.int64).reshape(5, -1)
-        parts = [np.frombuffer(p, np.uint8) for x, p in zip(is_sets, packed, strict=True) if not x]
-        sizes = [len(p) // 14 for p in parts]
+        rows = list(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
+        sets = np.frombuffer(next(p for _, _, n, p in rows if n < 0), np.int64).reshape(5, -1)
+        parts = [(b, n, np.frombuffer(p, np.uint8)) for b, _, n, p in rows if n >= 0]
         if parts:
-            t = np.concatenate([p[: 8 * n].view(np.uint64) for p, n in zip(parts, sizes, strict=True)])
-            df = np.concatenate([p[8 * n : 12 * n].copy().view(np.uint32) for p, n in zip(parts, sizes, strict=True)])
-            own = np.concatenate([p[12 * n :].copy().view(np.uint16) for p, n in zip(parts, sizes, strict=True)])
+            t = np.concatenate([(_forty(p, n) << np.uint64(24)) | np.uint64(b) for b, n, p in parts])
+            df = np.concatenate([p[5 * n : 7 * n].copy().view(np.uint16) for _, n, p in parts])
+            own = np.concatenate([_places(p[7 * n :], n) for _, n, p in parts])
         else:
-            t, df, own = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+            t, df, own = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint16)
         n = sets[3]
         known = np.bincount(own, minlength=sets.shape[1])
         fit = (known > 0) & (DEN * known >= NUM * n)
@@ -148,8 +166,8 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
         ids, th, line, n, sig = (pa.array(x[live]) for x in sets)
         return pa.table([ids, th, line, n, sig, flat], names=["id", "th", "line", "n", "sig", "tokens"])
 
-    sent = given.mapInArrow(send, "bucket int, sender long, sets boolean, packed binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "sender long, sets boolean, packed binary")
+    kind = "bucket int, sender long, size int, packed binary"
+    counted = given.mapInArrow(send, kind).groupBy("bucket").applyInArrow(count, kind)
     return counted.groupBy("sender").applyInArrow(gather, "id long, th long, line long, n long, sig long, tokens binary")
 
 
