@@ -8,9 +8,9 @@ lists of their prefixes in rarity order, with length and position filters.  The
 size with the least total cost: subsets enumerated below it, list entries scanned
 above it, both counted over the whole corpus.
 
-Candidates of a list are first held against the list's leader, then against a second
-one; after that only entries outside the leader's component meet the rest of
-their list.  So every link between different components is found, while a group
+Candidates of a list are first held against its leader; then those outside the list's main
+component meet a few others, then more, and at last all of the list that is not in their
+component.  So every link between different components is found, while a group
 of copies costs about its size and not its square.  Components come from large-star and
 small-star rounds.
 
@@ -36,6 +36,8 @@ from hexflow.llm.shared import shared_dir
 
 #: No boundary is sought beyond this size: the number of subsets only grows from there.
 LARGEST_LIGHT = 16
+#: Entries of a list, on average, that the sets outside its main component meet before they meet all.
+SAMPLED = (2, 16, 64)
 
 
 def _signed(batch: pa.RecordBatch):
@@ -132,24 +134,37 @@ def links(classes: DataFrame) -> DataFrame:
     # a heavy set's partner may be light, down to three quarters of its size
     heavy = sets.postings(classes, (), least=-(-sets.NUM * (largest + 1) // sets.DEN)).select("key", "sig", "n", "most", F.lit(True).alias("heavy"))
     entries = heavy.union(light_entries(classes, largest).select("key", "sig", "n", "most", F.lit(False).alias("heavy"))).checkpoint()
-    found = None
     rooted = entries.withColumn("root", F.col("sig"))
     fits = (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most"))
-    for seed in (1, 2):
-        lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), "sig", "n", "most", "root")).alias("lead"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "heavy", "lead")
-        near = rooted.join(lead, ["key", "heavy"]).where(fits & (F.col("root") != F.col("lead.root")))
-        # each set is held against one leader a round
-        near = near.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("lead.h", "lead.sig")).alias("lead")).select(F.col("lead.sig").alias("a"), "b")
-        new = sets.verified(near, classes).checkpoint()
-        found = new if found is None else found.union(new)
+    # first one leader for each set, the least of its lists'
+    lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "most")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    near = rooted.join(lead, ["key", "heavy"]).where(fits & (F.col("sig") != F.col("lead.sig")))
+    near = near.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("lead.h", "lead.sig")).alias("lead")).select(F.col("lead.sig").alias("a"), "b")
+    found = sets.verified(near, classes).checkpoint()
+    rooted = _rooted(entries, components(found))
+    # then, for the sets outside their list's main component, more and more of the list, drawn by hash
+    for drawn in SAMPLED:
+        left = _divided(rooted)
+        some = left.where((F.pmod(F.xxhash64("key", "sig", F.lit(drawn)), F.lit(1 << 20)) * F.col("size")) < drawn * (1 << 20))
+        pairs = _between(left.where("root <> main"), some)
+        found = found.union(sets.verified(pairs, classes).checkpoint())
         rooted = _rooted(entries, components(found))
-    lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root")).alias("lead"), F.max(F.xxhash64("root")).alias("y")).where("lead.h <> y").select("key", "heavy", F.col("lead.root").alias("main"))
-    left = rooted.join(lead, ["key", "heavy"]).checkpoint()
-    x, y = left.where("root <> main").alias("x"), left.alias("y")
+    left = _divided(rooted)
+    return found.union(sets.verified(_between(left.where("root <> main"), left), classes))
+
+
+def _divided(rooted: DataFrame) -> DataFrame:
+    """Entries of lists with more than one component, with the list's size and main component."""
+    lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("key", "sig").alias("h"), "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+    return rooted.join(lead.select("key", "heavy", "size", F.col("lead.root").alias("main")), ["key", "heavy"]).checkpoint()
+
+
+def _between(xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of one list and different components that length and position allow."""
+    x, y = xs.alias("x"), ys.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.heavy") == F.col("y.heavy"))
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-    rest = x.join(y, same).where(apart).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    return found.union(sets.verified(rest, classes))
+    return x.join(y, same).where(apart).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
