@@ -71,14 +71,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = entries.groupBy("key").agg(F.min(F.struct("at", "sig", "n", "most")).alias("first"), F.count("*").alias("size")).where("size > 1")
     fits = (F.col("n") <= F.col("first.most")) & (F.col("first.n") <= F.col("most"))
     early = entries.join(first, "key").where(fits & (F.col("first.at") < F.col("at")))
-    early = early.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("first.at", "first.sig")).alias("first")).select(F.col("first.sig").alias("a"), "b")
+    early = early.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("first.at", "first.sig")).alias("first")).select(F.col("first.sig").alias("a"), "b").checkpoint()
+    release(docs.sparkSession)
     found = sets.verified(early, classes).select("b").checkpoint()
     release(docs.sparkSession)
 
     open_ = entries.join(found.select(F.col("b").alias("sig")), "sig", "left_anti")
     x, y = open_.alias("x"), entries.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("y.at") < F.col("x.at")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")))
-    rest = rest.select(F.col("y.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
+    rest = rest.select(F.col("y.sig").alias("a"), F.col("x.sig").alias("b")).distinct().checkpoint()
+    release(docs.sparkSession)
     gone = found.union(sets.verified(rest, classes).select("b")).distinct().select(F.col("b").alias("sig"), F.lit(True).alias("gone"))
 
     status = classes.select("sig", "at").join(gone, "sig", "left").checkpoint()
