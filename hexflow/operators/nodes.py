@@ -11,7 +11,7 @@ from hexflow.params import IMPASSABLE
 
 
 def clamp_weight(weight: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(10), F.floor(weight + 0.5))).cast("int")
+    return F.when(weight.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), F.floor(weight + 0.5))).cast("int"))
 
 
 def insert(nodes: DataFrame, new: DataFrame) -> DataFrame:
