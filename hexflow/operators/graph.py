@@ -59,7 +59,7 @@ def visibility_lists(visible: DataFrame) -> DataFrame:
 
 
 #: Edges that the shortest-path kernel may be handed by broadcast.
-BROADCAST_EDGES = 20_000_000
+BROADCAST_EDGES = 6_000_000
 
 
 class Csr:

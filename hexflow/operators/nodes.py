@@ -87,3 +87,9 @@ def pin_hit(clicks: DataFrame, nodes: DataFrame, pad: float = 0.0) -> DataFrame:
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
     near = at.join(pins, ["tx", "ty"]).withColumn("d", d).where(F.col("d") <= 7 + 2.5 * F.col("weight") + pad)
     return near.groupBy("click_id").agg(F.min_by("node_ord", F.struct("d", "node_ord")).alias("node_ord"))
+
+
+def bounds(points: DataFrame) -> DataFrame:
+    """``x0, y0, x1, y1`` of the finite points (x, y)."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return points.where(finite("x") & finite("y")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

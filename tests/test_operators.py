@@ -243,3 +243,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(traces).collect()))
     assert sessions(traces).agg(F.sum("n")).first()[0] == 200
+
+
+def test_mapping_and_run(spark):
+    from hexflow.plans import mapping, simulation
+
+    cells = raster.aoi_cells(spark, [[(-4, -4), (5, -4), (5, 5), (-4, 5)]])
+    rows = [(1, "waterway", "river", "LineString", [[{"x": -4.0, "y": 2.0}, {"x": 1.0, "y": 2.0}]]), (2, "transportation", "path", "LineString", [[{"x": -4.0, "y": -2.0}, {"x": 4.0, "y": -2.0}]])]
+    f = spark.createDataFrame(rows, "feature_id long, source_layer string, class string, geom_type string, rings array<array<struct<x: double, y: double>>>").select("*", *[F.lit(None).cast("string").alias(c) for c in C.PROPS if c not in ("source_layer", "class")])
+    state = mapping.build(f, cells).state.persist()
+    assert state.count() == cells.count() and state.where("friction >= 999999").count() > 0 and state.where("friction < 1").count() == 0
+    ids = [r.cell_id for r in state.where("friction < 999999").orderBy("ord").collect()]
+    n = spark.createDataFrame([(0, ids[0], "origin", 1), (1, ids[-1], "destination", 1)], "node_ord int, cell_id long, type string, weight int")
+    run = simulation.run(state, n, SimulationParams(vision_depth=2, agents_per_weight_unit=5), waves=2)
+    assert run.desire.agg(F.sum("score")).first()[0] == run.contrib.agg(F.sum("n")).first()[0] > 0
+    assert run.peak().first().peak >= 1 and run.unreachable.count() == 0 and run.cells.count() == state.count()
