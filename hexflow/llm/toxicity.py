@@ -119,7 +119,7 @@ def aimed(scope: int = 5) -> Transducer:
 
 
 #: What the grammar writes for a match, with hand-set weights of log1p(count).
-PATTERNS = {"I": 3.0, "A": 3.5, "J": 1.0, "i": 0.8, "K": 3.0, "T": 0.2, "U": 0.2, "t": 0.0}
+PATTERNS = {"I": 5.0, "A": 6.0, "J": 1.5, "i": 1.0, "K": 6.0, "T": 0.3, "U": 0.3, "t": 0.0}
 BASE = -4.0
 GO, OUT = negation().compose(reported()).compose(aimed()).table(OTHER + INSULT + THREAT + TARGET + NEGATOR + REPORT + INTENT + STOP)
 
