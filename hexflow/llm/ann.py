@@ -5,7 +5,8 @@ largest norm.  A random rotation then spreads each difference evenly over the di
 distance over the first d dimensions estimates the whole.  Vectors lie in lists by their
 nearest of the centres fitted on a bounded sample; a query probes its nearest lists, as many as held
 ``RECALL`` of the exact neighbours of ``CALIBRATED`` sample vectors.  Within a list, vectors are scanned in
-column blocks; after each block a hypothesis test abandons the candidates whose partial
+column blocks; a query comes with a score that its neighbours must reach, its k-th best of the
+sample, and after each block a hypothesis test abandons the candidates whose partial
 distance already speaks, at ``EPSILON`` standard errors, against their reaching the query's k-th
 distance.  While many pairs live, a block is one matrix product for all queries of the list; then
 pairs go on one by one.  The survivors' scores are exact inner products of the original
@@ -14,11 +15,12 @@ vectors in double precision.
 Lists are cut into blocks of at most ``BLOCK`` vectors by a hash of the id, and each probing query goes
 to every block of its lists: no list is too large for a task and none is capped.  Equal
 vectors of a hot group are dealt over the blocks too.  Centres and rotation are of fixed size
-(``CENTRES_MAX`` at most) and are broadcast; vectors and queries are shuffled.
+(``CENTRES_MAX`` at most) and are broadcast with the sample; vectors and queries are shuffled.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and those whose
 length is not the most frequent one (the smallest of these, if several), take no part; nor do rows without an
-id.  Rows that repeat an id are candidates each; a query's own id never is.  Ties go to the
+id.  Rows that repeat an id are candidates each, and share one ranking as queries; a query's own id never is a
+candidate.  Ties go to the
 smaller id.  A query without candidates gives no row.
 """
 
@@ -44,17 +46,36 @@ class Index:
     rotation: np.ndarray
     centres: np.ndarray
     probes: int
+    sample: np.ndarray
+    sample_ids: np.ndarray
 
     def place(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Vectors in rotated space; queries have 0 for the filling coordinate."""
         fill = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.top**2 - (x * x).sum(axis=1)))
         return (np.hstack([x, fill[:, None]]) @ self.rotation).astype(np.float32)
 
+    def least(self, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's k nearest reach: its k-th best in the sample."""
+        if len(self.sample) <= k:
+            return np.full(len(x), -np.inf)
+        out = []
+        for a in range(0, len(x), 256):
+            s = x[a : a + 256] @ self.sample.T
+            s[ids[a : a + 256, None] == self.sample_ids[None, :]] = -np.inf
+            out.append(np.partition(s, -k, axis=1)[:, -k])
+        found = np.concatenate(out)
+        return found - 1e-9 * (1 + np.abs(found))
+
     def nearest(self, y: np.ndarray, k: int) -> np.ndarray:
         d = (self.centres**2).sum(axis=1) - 2 * y @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+def _ids(column) -> np.ndarray:
+    ids = column.to_pylist()
+    return np.array(ids, dtype=np.int64 if all(isinstance(i, int) for i in ids) else object)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -73,10 +94,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 def fit(given: DataFrame, dim: int, k_nearest: int = 20, seed: int = 0) -> Index:
     """Rotation, and k-means centres of at most SAMPLE vectors; the number of lists follows the number of rows."""
     rows, top = given.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
-    sample = matrix(given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v"))
+    table = given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").toArrow()
+    sample = matrix(table.column("v"))
     r = np.random.default_rng(seed)
     rotation = np.linalg.qr(r.normal(size=(dim + 1, dim + 1)))[0]
-    index = Index(top, rotation, np.zeros((0, dim + 1), np.float32), 0)
+    index = Index(top, rotation, np.zeros((0, dim + 1), np.float32), 0, sample, _ids(table.column("id")))
     y = np.unique(index.place(sample), axis=0)
     k = int(min(CENTRES_MAX, len(y), max(1, rows // PER_LIST)))
     centres = y[r.permutation(len(y))[:k]]
@@ -98,15 +120,18 @@ def fit(given: DataFrame, dim: int, k_nearest: int = 20, seed: int = 0) -> Index
     return index
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) of rotated queries and a list's vectors that the tests leave; ``own`` marks pairs of one id."""
+def scan(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of rotated queries and a list's vectors that the tests leave.
+
+    ``own`` marks pairs of one id, ``reach`` has a distance that each query's k nearest do not exceed.
+    """
     n, dim = vectors.shape
     # the k-th distance to a first handful bounds what can still be among the k nearest
     first = min(n, max(4 * k, 128))
     head = _squares(queries, vectors[:first])
     head[own[:, :first]] = np.inf
     bound = np.partition(head, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
-    bound = np.where(np.isfinite(bound), bound, np.inf) if first >= k else np.full(len(queries), np.inf)
+    bound = np.minimum(reach, bound) if first >= k else reach
     alive, part, pairs = ~own, np.zeros((len(queries), n), np.float32), None
     for a in range(0, dim, COLUMNS):
         b = min(dim, a + COLUMNS)
@@ -166,16 +191,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         for batch in batches:
             index, x = shared.value, matrix(batch.column("v"))
             near = index.nearest(index.place(x, query=True), index.probes)
+            least = pa.array(index.least(x, _ids(batch.column("id")), k))
             rows = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(near.ravel().astype(np.int64))], names=["id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(near.ravel().astype(np.int64)), least.take(rows)], names=["id", "v", "list", "least"])
 
     at_list = f"id {kind}, v {given.schema['v'].dataType.simpleString()}, list long"
     lists = given.mapInArrow(listed, at_list)
     blocks = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # one short row a centre
     blocks = F.broadcast(blocks)
     stored = lists.join(blocks, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).alias("block"), "id", "v")
-    asked = given.where(is_query(F.col("id"))).mapInArrow(probed, at_list)
-    asked = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v")
+    asked = given.where(is_query(F.col("id"))).mapInArrow(probed, f"{at_list}, least double")
+    asked = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v", "least")
 
     def within(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
@@ -183,28 +209,52 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         if not len(left) or not len(right):
             return pa.table([pa.array([], t) for t in types], names=names)
         index, q, x = shared.value, matrix(left.column("v")), matrix(right.column("v"))
-        qid, xid = (np.asarray(t.column("id").to_pylist(), dtype=object) for t in (left, right))
-        if all(isinstance(v, int) for v in (qid[0], xid[0])):
-            qid, xid = qid.astype(np.int64), xid.astype(np.int64)
+        qid, xid, least = _ids(left.column("id")), _ids(right.column("id")), left.column("least").to_numpy()
+        reach = (q * q).sum(axis=1) + index.top**2 - 2 * least
         rotated_q, rotated_x = index.place(q, query=True), index.place(x)
         found_q, found_x, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for a in range(0, len(q), 256):
-            i, j = scan(rotated_q[a : a + 256], rotated_x, qid[a : a + 256, None] == xid[None, :], k)
+            i, j = scan(rotated_q[a : a + 256], rotated_x, qid[a : a + 256, None] == xid[None, :], reach[a : a + 256], k)
             i = i + a
             s = inner(q[i], x[j])
             order = np.lexsort((xid[j], -s, i))
             i, j, s = i[order], j[order], s[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            best = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (s >= least[i])
             found_q.append(i[best])
             found_x.append(j[best])
             scores.append(s[best])
         rows_q, rows_x = (pa.array(np.concatenate(r)) for r in (found_q, found_x))
         return pa.table([left.column("id").take(rows_q), right.column("id").take(rows_x), pa.array(np.concatenate(scores))], names=names)
 
-    found = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInArrow(within, f"query_id {kind}, id {kind}, score double")
+    def sampled(batches):
+        for batch in batches:
+            index, x, qid = shared.value, matrix(batch.column("v")), _ids(batch.column("id"))
+            rows, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for a in range(0, len(x), 256):
+                s = x[a : a + 256] @ index.sample.T
+                s[qid[a : a + 256, None] == index.sample_ids[None, :]] = -np.inf
+                least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                i, j = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]) & np.isfinite(s))
+                exact = inner(x[a : a + 256][i], index.sample[j])
+                order = np.lexsort((index.sample_ids[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                rows.append(i[best] + a)
+                which.append(index.sample_ids[j[best]])
+                scores.append(exact[best])
+            ids = pa.array(np.concatenate(which).tolist(), batch.schema.field("id").type)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.concatenate(rows))), ids, pa.array(np.concatenate(scores))], names=["query_id", "id", "score"])
+
+    pairs = f"query_id {kind}, id {kind}, score double"
+    found = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInArrow(within, pairs)
+    # the best of the sample fill up what the probed lists lack; a row may come both ways
+    sampled_pairs = given.where(is_query(F.col("id"))).mapInArrow(sampled, pairs)
+    both = found.withColumn("way", F.lit(0)).union(sampled_pairs.withColumn("way", F.lit(1)))
+    times = F.greatest(F.count_if(F.col("way") == 0), F.count_if(F.col("way") == 1))
+    both = both.groupBy("query_id", "id", "score").agg(times.alias("n")).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     # at most k rows a block and query reach the last step
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op3_adaptive_scan(spark, sf_dir: str) -> DataFrame:
