@@ -214,3 +214,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op7_heavy_light(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).withColumnRenamed("id", "doc_id")
+
+
+#: All pairs that share a shingle, their Jaccard similarity, and components by least ids.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+comp(id, c) USING KEY (id) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, min(comp.c) FROM comp JOIN e ON e.x = comp.id JOIN recurring.comp k ON k.id = e.y WHERE comp.c < k.c GROUP BY e.y)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id FROM d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -119,3 +119,17 @@ def op9_prefix_filter(spark, sf_dir: str) -> DataFrame:
     kept = dedup_lines(docs.withColumn("_n", F.size(F.split("text", "\n", -1)).cast("long")))
     n_kept = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     return kept.select("doc_id", F.col("_n").alias("n_lines"), n_kept.alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: All pairs of lines that share a shingle, and their Jaccard similarity.
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+s AS (SELECT DISTINCT doc_id, i, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, i, w, unnest(range(1, len(w) - 3)) AS k FROM l WHERE len(w) >= 5)),
+n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT a.doc_id AS da, a.i AS ia, b.doc_id AS db, b.i AS ib, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i) GROUP BY ALL),
+gone AS (SELECT DISTINCT db AS doc_id, ib AS i FROM o JOIN n p ON p.doc_id = da AND p.i = ia JOIN n q ON q.doc_id = db AND q.i = ib WHERE 100 * c >= 75 * (p.n + q.n - c)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(CASE WHEN coalesce(t, '') = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS BIGINT) AS n_kept, sha256(coalesce(t, '')) AS text_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_wu_manber": decontaminate.OP1_SQL,
+    "op7_heavy_light": jaccard_join.OP7_SQL,
+    "op9_prefix_filter": line_dedup.OP9_SQL,
 }
