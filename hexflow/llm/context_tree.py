@@ -63,11 +63,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     padded = np.zeros(at[-1], dtype=np.uint8)
     padded[np.arange(len(data)) + np.repeat(at[:-1] - offsets[:-1] + DEPTH, n)] = data
     padded[at[1:] - 1] = END
-    coded = np.arange(len(data) + k) + np.repeat(DEPTH * (np.arange(k) + 1), n + 1)
-    g = np.zeros(len(coded), dtype=np.uint64)
+    wide = padded.astype(np.uint64)
+    g = wide.copy()
     for j in range(1, DEPTH + 1):
-        g = (g << np.uint64(8)) | padded[coded - j]
-    return (g << np.uint64(8)) | padded[coded], np.concatenate([[0], np.cumsum(n + 1)])
+        g[j:] |= wide[:-j] << np.uint64(8 * (DEPTH + 1 - j))
+    coded = np.ones(len(padded), dtype=bool)
+    coded[(at[:-1, None] + np.arange(DEPTH)).ravel()] = False
+    return g[coded], np.concatenate([[0], np.cumsum(n + 1)])
 
 
 def _entries(table: pa.Table):
@@ -265,7 +267,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             known.append(np.bincount(own, weights=c > 0, minlength=k).astype(np.int64) + (trained > 0))
             tokens.append(w.n + 1)
             g, first = grams(w.data, w.offsets)
-            p = value[GRAM][np.searchsorted(entries[GRAM][0], g)].astype(float)
+            own_grams, back = np.unique(g, return_inverse=True)
+            p = value[GRAM][np.searchsorted(entries[GRAM][0], own_grams)][back].astype(float)
             model_score.append(np.add.reduceat(p, first[:-1]))
         cat = lambda x: pa.array(np.concatenate(x))
         return pa.table([left.column("id"), left.column("held_out"), cat(tokens), cat(known), pa.array([total] * len(left), pa.int64()), cat(base), cat(model_score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
