@@ -5,23 +5,22 @@ largest norm.  A random rotation then spreads each difference evenly over the di
 distance over the first d dimensions estimates the whole.  Vectors lie in lists by their
 nearest of the centres fitted on a bounded sample; a query probes its nearest lists, as many as held
 ``RECALL`` of the exact neighbours of ``CALIBRATED`` sample vectors.  Within a list, vectors are scanned in
-column blocks; a query comes with a score that its neighbours must reach, its k-th best of the
-sample, and after each block a hypothesis test abandons the candidates whose partial
+column blocks, and after each block a hypothesis test abandons the candidates whose partial
 distance already speaks, at ``EPSILON`` standard errors, against their reaching the query's k-th
-distance.  While many pairs live, a block is one matrix product for all queries of the list; then
+distance, which sinks from list to list of those that a task scans one after the other.  While many pairs live, a block is one matrix product for all queries of the list; then
 pairs go on one by one.  The survivors' scores are exact inner products of the original
 vectors in double precision.
 
-Lists are cut into blocks of at most ``BLOCK`` vectors by a hash of the id, and each probing query goes
-to every block of its lists: no list is too large for a task and none is capped.  Equal
+``TOGETHER`` lists make a shard.  Lists are cut into blocks of ``BLOCK`` vectors by a hash of the id, and each probing
+query goes to every block of its shards: no list is too large for a task and none is capped.  Equal
 vectors of a hot group are dealt over the blocks too.  Centres and rotation are of fixed size
-(``CENTRES_MAX`` at most) and are broadcast with the sample; vectors and queries are shuffled.
+(``CENTRES_MAX`` at most) and are broadcast; vectors and queries are shuffled.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and those whose
 length is not the most frequent one (the smallest of these, if several), take no part; nor do rows without an
 id.  Rows that repeat an id are candidates each, and share one ranking as queries; a query's own id never is a
 candidate.  Ties go to the
-smaller id.  A query without candidates gives no row.
+smaller id.  A query whose lists may hold fewer than k candidates probes further ones; a query without candidates gives no row.
 """
 
 from __future__ import annotations
@@ -35,41 +34,43 @@ from pyspark.sql import functions as F
 
 #: Sample for the centres, vectors a centre on average, most centres; what the number of probes is calibrated on.
 SAMPLE, PER_LIST, CENTRES_MAX, CALIBRATED, RECALL = 20_000, 1_000, 4096, 200, 0.97
-BLOCK, COLUMNS, EPSILON, SPARSE = 1_000, 16, 2.5, 0.25
+BLOCK, TOGETHER, COLUMNS, EPSILON, SPARSE = 2_000, 8, 16, 2.5, 0.25
 
 
 @dataclass
 class Index:
-    """The largest norm, the rotation (dimensions + 1 squared) and the centres in rotated space."""
+    """The largest norm, the rotation (dimensions + 1 squared), the centres in rotated space, and how the lists are probed.
+
+    ``sizes`` has the sample's vectors in each list; ``most`` is how often an id occurs among them.
+    """
 
     top: float
     rotation: np.ndarray
     centres: np.ndarray
     probes: int
-    sample: np.ndarray
-    sample_ids: np.ndarray
+    sizes: np.ndarray
+    most: int
 
     def place(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Vectors in rotated space; queries have 0 for the filling coordinate."""
         fill = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.top**2 - (x * x).sum(axis=1)))
         return (np.hstack([x, fill[:, None]]) @ self.rotation).astype(np.float32)
 
-    def least(self, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """A score that each query's k nearest reach: its k-th best in the sample."""
-        if len(self.sample) <= k:
-            return np.full(len(x), -np.inf)
-        out = []
-        for a in range(0, len(x), 256):
-            s = x[a : a + 256] @ self.sample.T
-            s[ids[a : a + 256, None] == self.sample_ids[None, :]] = -np.inf
-            out.append(np.partition(s, -k, axis=1)[:, -k])
-        found = np.concatenate(out)
-        return found - 1e-9 * (1 + np.abs(found))
-
     def nearest(self, y: np.ndarray, k: int) -> np.ndarray:
         d = (self.centres**2).sum(axis=1) - 2 * y @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :k]
 
+    def probed(self, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and lists to probe: ``probes`` a row, more where these hold fewer than k others of the sample."""
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(y), 1024):
+            near = self.nearest(y[a : a + 1024], len(self.centres))
+            n = np.maximum(self.probes, 1 + (np.cumsum(self.sizes[near], axis=1) < k + self.most).sum(axis=1))
+            i, j = np.nonzero(np.arange(near.shape[1]) < n[:, None])
+            rows.append(i + a)
+            lists.append(near[i, j])
+        return np.concatenate(rows), np.concatenate(lists)
+
 
 def _ids(column) -> np.ndarray:
     ids = column.to_pylist()
@@ -98,7 +99,7 @@ def fit(given: DataFrame, dim: int, k_nearest: int = 20, seed: int = 0) -> Index
     sample = matrix(table.column("v"))
     r = np.random.default_rng(seed)
     rotation = np.linalg.qr(r.normal(size=(dim + 1, dim + 1)))[0]
-    index = Index(top, rotation, np.zeros((0, dim + 1), np.float32), 0, sample, _ids(table.column("id")))
+    index = Index(top, rotation, np.zeros((0, dim + 1), np.float32), 0, np.zeros(0, np.int64), 0)
     y = np.unique(index.place(sample), axis=0)
     k = int(min(CENTRES_MAX, len(y), max(1, rows // PER_LIST)))
     centres = y[r.permutation(len(y))[:k]]
@@ -109,13 +110,15 @@ def fit(given: DataFrame, dim: int, k_nearest: int = 20, seed: int = 0) -> Index
         n = np.bincount(near, minlength=k)[:, None]
         centres = np.where(n > 0, total / np.maximum(n, 1), centres).astype(np.float32)
     index.centres = centres
+    home = index.nearest(index.place(sample), 1)[:, 0]
+    index.sizes, index.most = np.bincount(home, minlength=k), int(np.unique(_ids(table.column("id")), return_counts=True)[1].max())
     # the lists that hold the exact neighbours of some of the sample, in the order in which they would be probed
     some = r.permutation(len(sample))[:CALIBRATED]
     products = sample[some] @ sample.T
     products[np.arange(len(some)), some] = -np.inf
     best = np.argsort(-products, axis=1)[:, :k_nearest]
     order = np.argsort(index.nearest(index.place(sample[some], query=True), k), axis=1)
-    turns = np.take_along_axis(order, index.nearest(index.place(sample), 1)[best, 0], axis=1)
+    turns = np.take_along_axis(order, home[best], axis=1)
     index.probes = int(np.quantile(turns, RECALL)) + 1 if turns.size else k
     return index
 
@@ -189,19 +192,22 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     def probed(batches):
         for batch in batches:
-            index, x = shared.value, matrix(batch.column("v"))
-            near = index.nearest(index.place(x, query=True), index.probes)
-            least = pa.array(index.least(x, _ids(batch.column("id")), k))
-            rows = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(near.ravel().astype(np.int64)), least.take(rows)], names=["id", "v", "list", "least"])
-
-    at_list = f"id {kind}, v {given.schema['v'].dataType.simpleString()}, list long"
-    lists = given.mapInArrow(listed, at_list)
-    blocks = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # one short row a centre
-    blocks = F.broadcast(blocks)
-    stored = lists.join(blocks, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).alias("block"), "id", "v")
-    asked = given.where(is_query(F.col("id"))).mapInArrow(probed, f"{at_list}, least double")
-    asked = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v", "least")
+            rows, lists = shared.value.probed(shared.value.place(matrix(batch.column("v")), query=True), k)
+            order = np.lexsort((lists % shards, rows))  # one row for all lists of a shard
+            rows, lists = rows[order], lists[order]
+            cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (lists[1:] % shards != lists[:-1] % shards)])) if len(rows) else rows
+            own = pa.ListArray.from_arrays(pa.array(np.append(cut, len(lists)).astype(np.int32)), pa.array(lists))
+            at = pa.array(rows[cut])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), own, pa.array(lists[cut] % shards)], names=["id", "v", "lists", "shard"])
+
+    vector = given.schema["v"].dataType.simpleString()
+    shards = -(-len(shared.value.centres) // TOGETHER)
+    lists = given.mapInArrow(listed, f"id {kind}, v {vector}, list long").withColumn("shard", F.col("list") % shards)
+    blocks = lists.groupBy("shard", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # one short row a centre
+    stored = lists.join(F.broadcast(blocks), ["shard", "list"]).select("shard", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).alias("block"), "list", "id", "v")
+    asked = given.where(is_query(F.col("id"))).mapInArrow(probed, f"id {kind}, v {vector}, lists array<long>, shard long")
+    asked = asked.join(F.broadcast(blocks.groupBy("shard").agg(F.max("blocks").alias("blocks"))), "shard")
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v", "lists")
 
     def within(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
@@ -209,52 +215,42 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         if not len(left) or not len(right):
             return pa.table([pa.array([], t) for t in types], names=names)
         index, q, x = shared.value, matrix(left.column("v")), matrix(right.column("v"))
-        qid, xid, least = _ids(left.column("id")), _ids(right.column("id")), left.column("least").to_numpy()
-        reach = (q * q).sum(axis=1) + index.top**2 - 2 * least
+        qid, xid = _ids(left.column("id")), _ids(right.column("id"))
         rotated_q, rotated_x = index.place(q, query=True), index.place(x)
+        asks, home = left.column("lists").combine_chunks(), right.column("list").to_numpy()
+        asking, wanted = np.repeat(np.arange(len(q)), asks.value_lengths().to_numpy()), asks.flatten().to_numpy()
+        held = np.full((len(q), k), -np.inf)  # each query's best scores so far
         found_q, found_x, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for a in range(0, len(q), 256):
-            i, j = scan(rotated_q[a : a + 256], rotated_x, qid[a : a + 256, None] == xid[None, :], reach[a : a + 256], k)
-            i = i + a
-            s = inner(q[i], x[j])
-            order = np.lexsort((xid[j], -s, i))
-            i, j, s = i[order], j[order], s[order]
-            best = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (s >= least[i])
-            found_q.append(i[best])
-            found_x.append(j[best])
-            scores.append(s[best])
-        rows_q, rows_x = (pa.array(np.concatenate(r)) for r in (found_q, found_x))
-        return pa.table([left.column("id").take(rows_q), right.column("id").take(rows_x), pa.array(np.concatenate(scores))], names=names)
-
-    def sampled(batches):
-        for batch in batches:
-            index, x, qid = shared.value, matrix(batch.column("v")), _ids(batch.column("id"))
-            rows, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for a in range(0, len(x), 256):
-                s = x[a : a + 256] @ index.sample.T
-                s[qid[a : a + 256, None] == index.sample_ids[None, :]] = -np.inf
-                least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                i, j = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]) & np.isfinite(s))
-                exact = inner(x[a : a + 256][i], index.sample[j])
-                order = np.lexsort((index.sample_ids[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                rows.append(i[best] + a)
-                which.append(index.sample_ids[j[best]])
-                scores.append(exact[best])
-            ids = pa.array(np.concatenate(which).tolist(), batch.schema.field("id").type)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.concatenate(rows))), ids, pa.array(np.concatenate(scores))], names=["query_id", "id", "score"])
-
-    pairs = f"query_id {kind}, id {kind}, score double"
-    found = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInArrow(within, pairs)
-    # the best of the sample fill up what the probed lists lack; a row may come both ways
-    sampled_pairs = given.where(is_query(F.col("id"))).mapInArrow(sampled, pairs)
-    both = found.withColumn("way", F.lit(0)).union(sampled_pairs.withColumn("way", F.lit(1)))
-    times = F.greatest(F.count_if(F.col("way") == 0), F.count_if(F.col("way") == 1))
-    both = both.groupBy("query_id", "id", "score").agg(times.alias("n")).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+        for each in np.unique(home).tolist():
+            here, of = np.flatnonzero(home == each), asking[wanted == each]
+            for a in range(0, len(of), 256):
+                m = of[a : a + 256]
+                least = held[m].min(axis=1)
+                reach = (q[m] * q[m]).sum(axis=1) + index.top**2 - 2 * least
+                i, j = scan(rotated_q[m], rotated_x[here], qid[m, None] == xid[None, here], reach, k)
+                s = inner(q[m[i]], x[here[j]])
+                order = np.lexsort((xid[here[j]], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                turn = np.arange(len(i)) - np.searchsorted(i, i)
+                best = (turn < k) & (s >= least[i])
+                i, j, s, turn = i[best], j[best], s[best], turn[best]
+                new = np.full((len(m), k), -np.inf)
+                new[i, turn] = s
+                held[m] = np.partition(np.hstack([held[m], new]), k, axis=1)[:, k:]
+                found_q.append(m[i])
+                found_x.append(here[j])
+                scores.append(s)
+        i, j, s = (np.concatenate(r) for r in (found_q, found_x, scores))
+        order = np.lexsort((xid[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        rows_q, rows_x = pa.array(i[best]), pa.array(j[best])
+        return pa.table([left.column("id").take(rows_q), right.column("id").take(rows_x), pa.array(s[best])], names=names)
+
+    found = asked.groupBy("shard", "block").cogroup(stored.groupBy("shard", "block")).applyInArrow(within, f"query_id {kind}, id {kind}, score double")
     # at most k rows a block and query reach the last step
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op3_adaptive_scan(spark, sf_dir: str) -> DataFrame:

@@ -50,3 +50,41 @@ def test_recall_over_many_lists_and_small_blocks(spark, monkeypatch):
 def test_few_and_no_vectors(spark):
     assert search(spark, [(0, [1.0] * 8), (1, [2.0] * 8)]) == {0: [(1, 16.0)]}
     assert search(spark, [(0, [1.0] * 8)]) == {} and search(spark, [(0, None)]) == {}
+
+
+@pytest.mark.parametrize("spread", [0.0, 6.0])
+def test_recall_with_a_sample_far_below_the_rows(spark, monkeypatch, spread):
+    for name, value in (("SAMPLE", 150), ("PER_LIST", 60), ("BLOCK", 50), ("TOGETHER", 4)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(12, 8)) * spread
+    rows = [(i, (middle[i % 12] + r.normal(size=8)).astype(np.float32).tolist()) for i in range(3000)]
+    got, want = search(spark, rows), brute(rows, 5, lambda i: i % 20 == 0)
+    hit = sum(len({j for j, _ in got[q]} & {j for j, _ in own}) for q, own in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values()))
+    assert all(len(own) == 5 for own in got.values())
+
+
+def test_few_candidates_in_the_probed_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 2)
+    monkeypatch.setattr(ann, "RECALL", 0.0)
+    r = np.random.default_rng(4)
+    got = search(spark, [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(60)])
+    assert all(len(own) == 5 for own in got.values()) and len(got) == 3
+
+
+def test_only_probed_lists_give_neighbours(spark, monkeypatch):
+    fit, made = ann.fit, []
+
+    def one_probe(*args):
+        made.append(fit(*args))
+        made[0].probes = 1
+        return made[0]
+
+    monkeypatch.setattr(ann, "fit", one_probe)
+    monkeypatch.setattr(ann, "PER_LIST", 60)
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
+    got, v = search(spark, rows), np.array([v for _, v in rows])
+    home, asked = (made[0].nearest(made[0].place(v, query=q), 1)[:, 0] for q in (False, True))
+    assert len(got) == 30 and all(home[j] == asked[q] for q, own in got.items() for j, _ in own)
