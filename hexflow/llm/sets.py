@@ -64,13 +64,13 @@ def _forty(packed: np.ndarray, n: int) -> np.ndarray:
 
 
 def _steps(places: np.ndarray) -> bytes:
-    """Ascending places as steps of one byte, or of two where one is too small."""
+    """Ascending places as steps of one byte, or of two or four where that is too small."""
     steps = np.diff(places.astype(np.int64), prepend=0)
-    return steps.astype(np.uint8 if steps.max() < 256 else np.uint16).tobytes()
+    return steps.astype(np.uint8 if steps.max() < 1 << 8 else np.uint16 if steps.max() < 1 << 16 else np.uint32).tobytes()
 
 
 def _places(packed: np.ndarray, n: int) -> np.ndarray:
-    return np.cumsum(packed if len(packed) == n else packed.copy().view(np.uint16), dtype=np.int64).astype(np.uint16)
+    return np.cumsum(packed.copy().view(f"u{len(packed) // n}") if n else packed, dtype=np.int64).astype(np.uint32)
 
 
 def survivors(given: DataFrame, units: Units) -> DataFrame:
@@ -101,7 +101,7 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
             t, o = np.concatenate(toks), np.concatenate(owners)
             bucket = ((t & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket.astype(np.uint16) if n_buckets < 65536 else bucket, kind="stable")
-            t, o, bucket = t[order] >> np.uint64(24), o[order].astype(np.uint16), bucket[order]
+            t, o, bucket = t[order] >> np.uint64(24), o[order].astype(np.uint32), bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
             end = np.concatenate([cut[1:], [len(bucket)]])
             name = (task << 24) | k
@@ -151,7 +151,7 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
             df = np.concatenate([p[5 * n : 7 * n].copy().view(np.uint16) for _, n, p in parts])
             own = np.concatenate([_places(p[7 * n :], n) for _, n, p in parts])
         else:
-            t, df, own = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint16)
+            t, df, own = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
         n = sets[3]
         known = np.bincount(own, minlength=sets.shape[1])
         fit = (known > 0) & (DEN * known >= NUM * n)

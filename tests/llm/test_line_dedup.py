@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from hexflow.llm import sets
 from hexflow.llm.line_dedup import dedup_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,3 +72,19 @@ def test_empty_table_and_repeated_rows(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "a b c d e f"), (1, "z\na b c d e f")], "doc_id long, text string")
     assert sorted(r.text for r in dedup_lines(docs).collect()) == ["", "a b c d e f", "a b c d e f", "a b c d e f", "z"] or sorted(r.text for r in dedup_lines(docs).collect()) == ["", "", "", "", "z\na b c d e f"]
+
+
+def test_text_of_more_lines_than_two_bytes_count(spark):
+    lines = [f"l{i} a{i} b{i} c{i} d{i} e{i}" for i in range(70_000)]
+    lines[66_000] = lines[69_999] = lines[3]
+    lines[68_000] = lines[67_000]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([lines[67_500], lines[10], "own line of five words"]))], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in dedup_lines(docs).collect()}
+    assert got[1] == [x for i, x in enumerate(lines) if i not in (66_000, 68_000, 69_999)]
+    assert got[2] == ["own line of five words"]
+
+
+def test_places_need_up_to_four_bytes():
+    for top in (255, 256, 65_535, 65_536, 200_000):
+        places = np.array([0, 0, 3, top, top + 70_000])
+        assert sets._places(np.frombuffer(sets._steps(places), np.uint8), len(places)).tolist() == places.tolist()
