@@ -3,9 +3,9 @@
 A public merge-type (BPE) model gives the pieces and their ranks; nothing is trained.
 Each stretch that starts a word is segmented by taking candidate merges in rank order,
 leftmost first, from an agenda.  A candidate is skipped when a hash keyed by the seed,
-the document's variant, the stretch and the candidate's span falls below ``dropout``, so
-a run is reproducible while documents differ.  Without dropout the segmentation is the
-library's own.  The agendas of all distinct stretches of a slice advance in lockstep;
+the document's id, the stretch, its place in the text and the candidate's span falls below ``dropout``, so
+a run is reproducible while every occurrence of a word draws its own.  Without dropout the segmentation is the
+library's own, and that of a stretch is remembered.  The agendas of many stretches advance in lockstep;
 stretches of more than ``LOCKSTEP`` characters use a heap.
 
 Defined results: a null text has null ids and decodes to null; an empty text has none and
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 LOCKSTEP = 48
 SLICE_BYTES = 1 << 21
-#: Segmentations that a worker remembers before it starts anew.
+#: Characters whose stretches advance together.
+TOGETHER = 1 << 17
+#: Segmentations without dropout that a worker remembers before it starts anew.
 REMEMBERED = 400_000
-VARIANTS = 4
 _NONE = np.int64(1 << 40)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -83,8 +85,10 @@ class Pieces:
         piece = np.where(ok, self.merged[at], -1)
         rank = np.where(ok, self.rank[piece], _NONE)
         if self.dropout:
-            h = T.mix(key + start.astype(np.uint64) * _K[0] + middle.astype(np.uint64) * _K[1] + end.astype(np.uint64) * _K[2])
-            rank = np.where((h >> np.uint64(11)).astype(float) / (1 << 53) < self.dropout, _NONE, rank)
+            real = np.flatnonzero(ok)
+            key = key if np.ndim(key) == 0 else key[real]
+            h = T.mix(key + start[real].astype(np.uint64) * _K[0] + middle[real].astype(np.uint64) * _K[1] + end[real].astype(np.uint64) * _K[2])
+            rank[real[(h >> np.uint64(11)).astype(float) / (1 << 53) < self.dropout]] = _NONE
         return piece, rank
 
     def segment(self, codes: np.ndarray, first: np.ndarray, keys: np.ndarray) -> list[bytes]:
@@ -179,17 +183,17 @@ class Pieces:
         live = [i for i in range(n) if symbol[i] is not None]
         return self._bytes(np.array([symbol[i] for i in live]), codes[live])
 
-    def encode(self, column: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pieces of the texts, and each text's offsets into them."""
         offsets, data = T.utf8(column)
         found, counts = [], [np.zeros(0, dtype=np.int64)]
         for a, b in T.slices(offsets, SLICE_BYTES):
-            ids, n = self._slice(offsets, data, a, b, variants[a:b])
+            ids, n = self._slice(offsets, data, a, b, documents[a:b])
             found.append(ids)
             counts.append(n)
         return np.concatenate(found) if found else np.zeros(0, dtype=np.int32), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
-    def _slice(self, offsets, data, a, b, variants):
+    def _slice(self, offsets, data, a, b, documents):
         raw = data[offsets[a] : offsets[b]]
         size = np.diff(offsets[a : b + 1])
         codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
@@ -211,7 +215,13 @@ class Pieces:
         powers, inverse = T._tables(len(codes) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(powers[: len(codes)] * codes, dtype=np.uint64)])
         h = T.mix((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64) * _K[3])
-        key = T.mix(h + np.uint64(self.seed * int(_K[1]) % (1 << 64)) + variants[text].astype(np.uint64) * _K[2]) if self.dropout else h
+        if self.dropout:
+            place = (begin - first[text]).astype(np.uint64)
+            key = T.mix(T.mix(h + np.uint64(self.seed * int(_K[1]) % (1 << 64)) + documents[text] * _K[2]) + place * _K[0])
+            pieces = self._each(codes, np.append(begin, len(codes)), key)
+            n = np.array([len(x) // 4 for x in pieces])
+            return np.frombuffer(b"".join(pieces), dtype=np.int32), np.bincount(text, weights=n, minlength=b - a).astype(np.int64)
+        key = h
         unique, one, back = np.unique(key, return_index=True, return_inverse=True)
         known = self._known
         if len(known) > REMEMBERED:
@@ -233,6 +243,17 @@ class Pieces:
         ids = pool[np.repeat(pool_at[back] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         return ids, np.bincount(text, weights=n, minlength=b - a).astype(np.int64)
 
+    def _each(self, codes, own, keys):
+        """Segments of all stretches, some at a time."""
+        out: list[bytes] = []
+        i = 0
+        while i < len(keys):
+            j = max(i + 1, int(np.searchsorted(own, own[i] + TOGETHER, "right")) - 1)
+            flat = codes[own[i] : own[j]]
+            out += self._marked(np.where(flat < 0x110000, flat, 0x10FFFF), flat, own[i : j + 1] - own[i], keys[i:j])
+            i = j
+        return out
+
     def _marked(self, masked, flat, own, keys):
         """Segments; stretches with a literal sign for a space are few and get its bytes."""
         out = self.segment(masked, own, keys)
@@ -259,11 +280,9 @@ class Pieces:
         return out[keep], at - np.concatenate([[0], np.cumsum(full)])
 
 
-def variants_of(ids: pa.Array) -> np.ndarray:
-    """A document's variant, from its id alone."""
-    import zlib
-
-    return np.array([zlib.crc32(str(x).encode()) % VARIANTS for x in ids.to_pylist()], dtype=np.int64)
+def keys_of(ids: pa.Array) -> np.ndarray:
+    """A document's key, from its id alone."""
+    return np.array([int.from_bytes(blake2b(str(x).encode(), digest_size=8).digest()) for x in ids.to_pylist()], dtype=np.uint64)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +293,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def scan(batches):
         for batch in batches:
             text = batch.column("text")
-            ids, first = shared.value.encode(text, variants_of(batch.column("id")))
+            ids, first = shared.value.encode(text, keys_of(batch.column("id")))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()), mask=text.is_null() if text.null_count else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "ids"])
 
@@ -312,7 +331,7 @@ def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col
         for batch in batches:
             p, text = shared.value, batch.column("text")
             digest, same, count = [], [], []
-            ids_of = variants_of(batch.column("id"))
+            ids_of = keys_of(batch.column("id"))
             offsets, data = T.utf8(text)
             for a, b in T.slices(offsets, SLICE_BYTES):
                 ids, n = p._slice(offsets, data, a, b, ids_of[a:b])

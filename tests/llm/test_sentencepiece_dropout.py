@@ -38,3 +38,18 @@ def test_dropout_varies_and_decodes_exactly(spark):
     assert all(len(r) == 0 for i, r in runs[0].items() if texts[i] == "")
     assert round_trip(docs, Pieces.load(seed=1, dropout=0.2)).where("not lossless").count() == 0
     assert encode(docs.limit(0), Pieces.load()).count() == 0
+
+
+def test_every_occurrence_draws_its_own(spark):
+    word, pieces = "internationalization", Pieces.load(seed=1, dropout=0.2)
+    many = spark.createDataFrame([(i, word) for i in range(400)], "doc_id long, text string").repartition(4)
+    assert len({tuple(r.ids) for r in encode(many, pieces).collect()}) > 20
+    one = spark.createDataFrame([(7, " ".join([word] * 400))], "doc_id long, text string")
+    words, run = set(), []
+    for i in encode(one, pieces).first().ids:
+        piece = pieces.raw[pieces.raw_at[i] : pieces.raw_at[i + 1]].tobytes()
+        if piece.startswith(b" ") and run:
+            words.add(tuple(run))
+            run = []
+        run.append(piece)
+    assert len(words) > 20
