@@ -2,13 +2,14 @@
 
 Every page becomes a small DOM.  Pages of one host are merged: elements with the same path
 of presentations (tag and class) are one style node.  A node's importance is the entropy of its content
-over the host's distinct pages that have it, as a share of the largest possible: from 0, the same
+over the host's distinct main parts whose pages have it, as a share of the largest possible: from 0, the same
 content everywhere, to 1, never twice the same.  Branches of low importance are template and go.
 Presentation is weighed with content: parts that never belong to the article (nav, header and footer,
 aside, form, advert, notice, comment) go whatever they hold, since their texts may vary from page to
 page; plain paragraphs, headings and lists stay whatever they hold, since pages may quote each
 other; a page that marks an article (or else a main part) gives that alone.  With fewer than
-``LEAST_PAGES`` distinct pages of the host, presentation alone decides.
+``LEAST_PAGES`` distinct main parts, presentation alone decides.  Importance never takes the marked part itself, its
+dominant branch, or all of a page's text.
 
 Statistics are per (host, node, content), counted with Spark from digests; only the nodes of low
 importance come back, as an array per host.
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from hexflow.llm.urls import host_of
 
-#: A node is judged once so many distinct pages of its host have it, and is template below this importance.
+#: A node is judged once pages of so many distinct main parts of its host have it, and is template below this importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.3
+#: A branch of the marked part is dominant with so many characters, if they are half of the part's.
+LEAST_BODY = 200
 #: Keys that a host's pages are dealt over when they meet its template.
 SALTS = 64
 
@@ -173,10 +176,14 @@ def style_nodes(root: Node) -> dict[str, bytes]:
 
 def main_text(root: Node, template: frozenset[str] = frozenset()) -> str:
     """The page's kept blocks, joined by one space; ``template`` has the paths of low importance."""
-    tags = {n.tag for n in _walk(root)}
+    nodes = _walk(root)
+    tags = {n.tag for n in nodes}
     marked = next((t for t in ("article", "main") if t in tags), None)
     blocks: list[str] = []
     run: list[str] = []
+    size: dict[int, int] = {}
+    for node in reversed(nodes) if template else ():  # children before parents
+        size[id(node)] = sum(sum(map(len, p.split())) if isinstance(p, str) else size.get(id(p), 0) for p in node.parts)
 
     def end() -> None:
         block = _SPACE.sub(" ", "".join(run)).strip()
@@ -184,22 +191,27 @@ def main_text(root: Node, template: frozenset[str] = frozenset()) -> str:
             blocks.append(block)
         run.clear()
 
-    todo: list = [(root, marked is None)]
+    todo: list = [(root, marked is None, 0)]
     while todo:
-        item, kept = todo.pop()
+        item, kept, whole = todo.pop()  # whole: characters of the marked part
         if item is None:
             end()
         elif isinstance(item, str):
             if kept:
                 run.append(item)
-        elif not item.outside and item.path not in template:
-            kept = kept or item.tag == marked
+        elif not item.outside:
+            if kept and item.path in template:
+                own = size[id(item)]
+                if not whole or own < LEAST_BODY or 2 * own < whole:
+                    continue
+            if not kept and item.tag == marked:
+                kept, whole = True, size.get(id(item), 0)
             if item.tag in BLOCK:
                 end()
-                todo.append((None, False))
-            todo += [(p, kept) for p in reversed(item.parts)]
+                todo.append((None, False, 0))
+            todo += [(p, kept, whole) for p in reversed(item.parts)]
     end()
-    return " ".join(blocks)
+    return " ".join(blocks) if blocks or not template else main_text(root)
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -210,8 +222,9 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         for batch in batches:
             rows: list[tuple] = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = blake2b((html or "").encode(), digest_size=12).digest()
-                rows += [(host, path, content, page) for path, content in style_nodes(parse(html or "")).items()]
+                root = parse(html or "")
+                page = blake2b(main_text(root).encode("utf-8", "surrogatepass"), digest_size=12).digest()
+                rows += [(host, path, content, page) for path, content in style_nodes(root).items()]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["host", "path", "content", "page"])
 

@@ -46,3 +46,16 @@ def test_given_pages():
         inner = page.partition("<article>")[2].partition("</article>")[0]
         want = " ".join(entities.unescape(re.sub(r"<[^>]*(?:>|$)", " ", inner)).split())
         assert main_text(parse(page)) == want
+
+
+def test_near_copies_keep_their_article(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    bare = [(i, "http://m.example", f"<nav>menu {i}</nav><article class='post'><div class='text'><p>{body}</p></div></article><div class='ad'>{i}</div>") for i in range(6)]
+    with_line = [(10 + i, "http://n.example", f"<main><section class='text'><p>{body}</p></section><p>line {i}</p><div class='x7'>Read our digest</div></main>") for i in range(6)]
+    only = [(30 + i, "http://p.example", f"<div class='k1'>same words</div><p>{i if i else ''}</p>") for i in range(6)]
+    pages = spark.createDataFrame(bare + with_line + only, "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract(pages).collect()}
+    assert all(got[i] == body for i in range(6))
+    assert all(got[10 + i] == f"{body} line {i}" for i in range(6))  # the short repeated branch still goes
+    assert all(got.values())
+    assert got[30] == "same words" and got[31] == "1"
