@@ -8,11 +8,13 @@ lists of their prefixes in rarity order, with length and position filters.  The
 size with the least total cost: subsets enumerated below it, list entries scanned
 above it, both counted over the whole corpus.
 
-Candidates of a list are first held against its leader; then those outside the list's main
-component meet a few others, then more, and at last all of the list that is not in their
-component.  So every link between different components is found, while a group
+Candidates of a list are first held against its leader, the set with the fewest tokens of its own: near
+copies of one text differ from each other by two edits' tokens and from the text itself by one's.  Entries that by length
+and position fit no other of their list go.  Those outside their list's main component then meet all of the list that is
+not in their component; where that would be more than ``ENOUGH`` times all entries, they first meet a few
+others, then more.  So every link between different components is found, while a group
 of copies costs about its size and not its square.  Components come from large-star and
-small-star rounds.
+small-star rounds.  Keys, leaders and hubs that may be hot are dealt over several places.
 
 Defined results: a document without words, or with a null text, has no shingles, links
 with nothing and is its own component; a text of fewer than five words is one shingle.  The component id
@@ -32,12 +34,15 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import Tables, release, spread_join
 
 #: No boundary is sought beyond this size: the number of subsets only grows from there.
 LARGEST_LIGHT = 16
-#: Entries of a list, on average, that the sets outside its main component meet before they meet all.
-SAMPLED = (2, 16, 64)
+#: Entries of a list, on average, that the sets outside its main component meet before they meet all, if all would be more
+#: than ENOUGH times as many pairs as there are entries.
+SAMPLED, ENOUGH = (4, 16, 64), 4
+#: Entries of a list that meet in one task.
+TOGETHER = 10_000
 
 
 def _signed(batch: pa.RecordBatch):
@@ -75,10 +80,11 @@ def subset_sizes(n: int) -> list[int]:
 
 
 def boundary(classes: DataFrame) -> int:
-    """The largest light size, by the cost of both ways over all classes."""
+    """The largest light size, by the cost of both ways over all classes: subsets made, and entries of the lists scanned for each set."""
     entries = sets.postings(classes.where(F.col("n") <= 2 * LARGEST_LIGHT), ())
-    lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.collect_set(F.least("n", F.lit(LARGEST_LIGHT + 1))).alias("ns"))
-    scanned = {r.n: r.cost for r in lists.select(F.explode("ns").alias("n"), "size").groupBy("n").agg(F.sum("size").alias("cost")).collect()}
+    own = entries.groupBy("key", F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("n")).agg(F.count("*").alias("own"))
+    lists = own.groupBy("key").agg(F.sum("own").alias("size"), F.collect_list(F.struct("n", "own")).alias("each"))
+    scanned = {r.n: r.cost for r in lists.select("size", F.explode("each").alias("each")).groupBy("each.n").agg(F.sum(F.col("each.own").cast("double") * F.col("size")).alias("cost")).collect()}
     known = F.octet_length("tokens") / 8
     subsets = {r.n: r.each for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy(F.col("n"), known.cast("int").alias("known")).count().groupBy("n").agg(F.collect_list(F.struct("known", "count")).alias("each")).collect()}
     light = {n: sum(r["count"] * sum(comb(r.known, c) for c in subset_sizes(n) if c <= r.known) for r in each) for n, each in subsets.items()}
@@ -87,12 +93,12 @@ def boundary(classes: DataFrame) -> int:
 
 
 def light_entries(classes: DataFrame, largest: int) -> DataFrame:
-    """``key, sig, n, most`` for each subset of the light sets; ``most`` does not bind here."""
+    """``key, sig, n, most, alone`` for each subset of the light sets; ``most`` does not bind here."""
 
     def subsets(batches):
         for batch in batches:
-            keys, sig, size = [], [], []
-            for n, s, raw in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            keys, rows = [], []
+            for i, (n, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
                 t = np.sort(T.mix(np.frombuffer(raw, np.uint64)))
                 for c in subset_sizes(n):
                     if c > len(t):
@@ -102,98 +108,120 @@ def light_entries(classes: DataFrame, largest: int) -> DataFrame:
                     for j in range(c):
                         h = T.mix(h * np.uint64(0x9E3779B97F4A7C15) + t[which[:, j]])
                     keys.append(h)
-                    sig += [s] * len(h)
-                    size += [n] * len(h)
+                    rows.append(np.full(len(h), i))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array([1 << 40] * len(size)), pa.array(sig, pa.int64()), pa.array(size, pa.int64())], names=["key", "most", "sig", "n"])
+                at = pa.array(np.concatenate(rows))
+                rest = [batch.column(c).take(at) for c in ("sig", "n", "alone")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.full(len(at), 1 << 40)), *rest], names=["key", "most", "sig", "n", "alone"])
 
-    return classes.where(F.col("n") <= largest).select("n", "sig", "tokens").mapInArrow(subsets, "key long, most long, sig long, n long")
+    return classes.where(F.col("n") <= largest).select("n", "sig", "alone", "tokens").mapInArrow(subsets, "key long, most long, sig long, n long, alone long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for all nodes of the links (a, b); the root is the smallest node."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """``node, root`` for all nodes of the links (a, b) but the roots themselves; the root is the smallest node."""
+    edges, old = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
+    count = edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that connect exactly the sets that all links connect."""
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_size"))
+        star = spread_join(both, low, "u", "_size", 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_size"))
+        small = spread_join(star, low, "u", "_size", count).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = tables.keep(small.where("u <> v").distinct())
+        if old is not None:
+            tables.drop(old)
+        old, count = edges, edges.count()
+        # stars are done when every node points to one other, which points nowhere
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def linked(classes: DataFrame, tables: Tables) -> DataFrame:
+    """``node, root`` of the classes that links join to another, but the roots themselves."""
     largest = boundary(classes)
     # a heavy set's partner may be light, down to three quarters of its size
-    heavy = sets.postings(classes, (), least=-(-sets.NUM * (largest + 1) // sets.DEN)).select("key", "sig", "n", "most", F.lit(True).alias("heavy"))
-    entries = heavy.union(light_entries(classes, largest).select("key", "sig", "n", "most", F.lit(False).alias("heavy"))).checkpoint()
-    rooted = entries.withColumn("root", F.col("sig"))
+    heavy = sets.postings(classes, ("alone",), least=-(-sets.NUM * (largest + 1) // sets.DEN)).select("key", "sig", "n", "most", "alone")
+    made = tables.keep(heavy.union(light_entries(classes, largest).select("key", "sig", "n", "most", "alone")))
+    total = made.count()
+    # first one leader for each set: of its lists' leaders the one with the fewest tokens of its own
+    lead = F.min(F.struct("alone", F.xxhash64("sig").alias("h"), "sig", "n", "most")).alias("lead")
+    lists = made.groupBy("key").agg(lead, F.count("*").alias("size"), F.min("n").alias("least"), F.max("most").alias("reach")).where("size > 1")
+    entries = tables.keep(spread_join(made, lists, "key", "size", total).where("most >= least and n <= reach").drop("least", "reach"))
+    tables.drop(made)
+    release(tables.spark)
     fits = (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most"))
-    # first one leader for each set, the least of its lists'
-    lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "most")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    near = rooted.join(lead, ["key", "heavy"]).where(fits & (F.col("sig") != F.col("lead.sig")))
-    near = near.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("lead.h", "lead.sig")).alias("lead")).select(F.col("lead.sig").alias("a"), "b")
-    found = sets.verified(near, classes).checkpoint()
-    rooted = _rooted(entries, components(found))
-    # then, for the sets outside their list's main component, more and more of the list, drawn by hash
-    for drawn in SAMPLED:
-        left = _divided(rooted)
-        some = left.where((F.pmod(F.xxhash64("key", "sig", F.lit(drawn)), F.lit(1 << 20)) * F.col("size")) < drawn * (1 << 20))
-        pairs = _between(left.where("root <> main"), some)
-        found = found.union(sets.verified(pairs, classes).checkpoint())
-        rooted = _rooted(entries, components(found))
-    left = _divided(rooted)
-    return found.union(sets.verified(_between(left.where("root <> main"), left), classes))
-
-
-def _divided(rooted: DataFrame) -> DataFrame:
-    """Entries of lists with more than one component, with the list's size and main component."""
-    lead = rooted.groupBy("key", "heavy").agg(F.min(F.struct(F.xxhash64("key", "sig").alias("h"), "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    return rooted.join(lead.select("key", "heavy", "size", F.col("lead.root").alias("main")), ["key", "heavy"]).checkpoint()
+    near = entries.where(fits & (F.col("sig") != F.col("lead.sig"))).groupBy(F.col("sig").alias("b")).agg(F.min("lead").alias("lead"))
+    pairs = tables.keep(near.select(F.col("lead.sig").alias("a"), "b"))
+    found = tables.keep(sets.verified(pairs, classes, pairs.count()))
+    tables.drop(pairs)
+    stars = components(found, tables)
+    tables.drop(found)
+    for drawn in (*SAMPLED, None):
+        left = tables.keep(_divided(entries.drop("lead", "size"), stars))
+        work = left.where("root <> main").agg(F.sum("size")).first()[0] or 0
+        last = drawn is None or work <= ENOUGH * total
+        if work:
+            few = F.pmod(F.xxhash64("key", "sig", F.lit(drawn or 0)), F.lit(1 << 20)) * F.col("size") < (drawn or 0) * (1 << 20)
+            pairs = tables.keep(_between(left.where("root <> main"), left if last else left.where(few)))
+            found = tables.keep(sets.verified(pairs, classes, pairs.count()))
+            if not found.isEmpty():
+                stars = components(found.union(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), tables)
+            tables.drop(pairs, found)
+        tables.drop(left)
+        if last:
+            tables.drop(entries)
+            return stars
+
+
+def _divided(entries: DataFrame, stars: DataFrame) -> DataFrame:
+    """Entries of lists with more than one component, with root, the list's size and main component, that of its leader."""
+    rooted = entries.join(stars, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "most", "alone", F.coalesce("root", "sig").alias("root"))
+    lead = F.min(F.struct("alone", F.xxhash64("key", "sig").alias("h"), "root")).alias("lead")
+    lists = rooted.groupBy("key").agg(lead, F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min("n").alias("least"), F.max("most").alias("reach"))
+    lists = lists.where("low <> high").select("key", "size", "least", "reach", F.col("lead.root").alias("main"))
+    return rooted.join(lists, "key").where("most >= least and n <= reach").select("key", "sig", "n", "most", "root", "size", "main")
 
 
 def _between(xs: DataFrame, ys: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of one list and different components that length and position allow."""
-    x, y = xs.alias("x"), ys.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.heavy") == F.col("y.heavy"))
+    """Candidate pairs (a, b) of one list and different components that length and position allow.
+
+    A long list's ``xs`` are dealt over several places, and its ``ys`` go to each.
+    """
+    places = F.least(F.ceil(F.col("size") / TOGETHER), F.lit(64))
+    x = xs.withColumn("place", F.pmod(F.xxhash64("sig"), places)).alias("x")
+    y = ys.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.place"))
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     return x.join(y, same).where(apart).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
-def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    return entries.join(roots, F.col("sig") == F.col("node"), "left").select(*entries.columns, F.coalesce("root", "sig").alias("root")).checkpoint()
-
-
 def _signed_rows(given: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
             n, sig = _signed(batch)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n), pa.array(sig, mask=n == 0)], names=["id", "th", "n", "sig"])
 
-    return given.mapInArrow(sign, "id long, th long, n long, sig long").checkpoint()
+    return given.mapInArrow(sign, "id long, th long, n long, sig long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, th, n, low`` of every document row: text hash, set size, and id and text hash of its component's first document."""
-    shared_dir(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    signed = _signed_rows(given)
-    found = sets.survivors(given.select(F.coalesce("id", F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text")), text_sets)
-    classes = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
-    rooted = components(links(classes))
+    found = sets.survivors(given.select(F.coalesce("id", F.lit(0)).alias("id"), F.lit(0).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text")), text_sets, copies=False)
+    classes = tables.keep(sets.classes(found))
+    release(docs.sparkSession)
+    stars = linked(classes, tables)
+    tables.drop(classes)
+    signed = tables.keep(_signed_rows(given))
     worded = signed.where("sig is not null")
-    named = worded.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("low")).join(rooted, F.col("sig") == F.col("node"), "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("low"))
-    named = named.drop("low").join(lows, "root").select("sig", "low")
+    own = worded.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("low"), F.count("*").alias("_size"))
+    named = tables.keep(own.join(stars, F.col("sig") == F.col("node"), "left").select("sig", "low", "_size", F.coalesce("root", "sig").alias("root")))
+    lows = named.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("_classes"))
+    named = spread_join(named.drop("low"), lows, "root", "_classes", named.count()).select("sig", "_size", F.col("first").alias("low"))
     alone = signed.where("sig is null").select("id", "th", "n", F.struct("id", "th").alias("low"))
-    return worded.join(named, "sig").select("id", "th", "n", "low").union(alone)
+    return spread_join(worded, named, "sig", "_size", signed.count()).select("id", "th", "n", "low").union(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,11 @@
 A line's tokens are its distinct 5-word shingles.  They are ordered by rarity; lines that
 share a token of their prefixes, agree in length and by the token's positions are
 candidates; their Jaccard similarity is verified; and a line goes if an earlier line
-(by doc_id, then line number) matches it.  A line is first held against the earliest line of
-its inverted lists; only those that this leaves unresolved meet all earlier entries,
-so a group of copies costs about its size, not its square.
+(by doc_id, then line number) matches it.  Equal lines are one set from the start.  A line is first held against the
+earliest line and the most central one (fewest tokens of its own) of its inverted lists; entries that by length and
+position fit no other of their list go; those still unresolved meet earlier entries of their lists, at first a few where
+all would be more than ``ENOUGH`` times as many pairs as there are entries, at last all.  So a group of copies
+costs about its size, not its square.  Keys that may be hot are dealt over several places.
 
 Defined results: a null text stays null; a line of fewer than ``MIN_WORDS`` words is left
 alone and matches nothing; kept lines stay joined by newlines, and a text all of whose
@@ -16,6 +18,8 @@ told apart by their text.  Extra columns pass unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,9 +28,14 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
-from hexflow.llm.shared import release, shared_dir
+from hexflow.llm.shared import Tables, release, spread_join
 
 MIN_WORDS = 5
+#: Earlier entries of a list, on average, that unresolved lines meet before they meet all, if all would be more than ENOUGH
+#: times as many pairs as there are entries.
+SAMPLED, ENOUGH = (4, 16, 64), 4
+#: Entries of a list that meet in one task.
+TOGETHER = 10_000
 
 
 def _key(id_col: str, text_col: str) -> list[F.Column]:
@@ -57,41 +66,68 @@ def line_sets(batch: pa.RecordBatch):
         yield ids[a + text[live]], th[a + text[live]], line[live], tokens, np.searchsorted(live, group)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, th, lines``: the numbers (from 0) of the lines that go, for each text that loses any."""
-    shared_dir(docs.sparkSession)
     given = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = sets.survivors(given, line_sets).checkpoint()
-    release(docs.sparkSession)
+    lines = tables.keep(sets.survivors(given, line_sets))
+    release(tables.spark)
     place = F.struct("id", "th", "line")
-    classes = lines.groupBy("sig").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
-    release(docs.sparkSession)
-    entries = sets.postings(classes, ("at",))
-
-    first = entries.groupBy("key").agg(F.min(F.struct("at", "sig", "n", "most")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    fits = (F.col("n") <= F.col("first.most")) & (F.col("first.n") <= F.col("most"))
-    early = entries.join(first, "key").where(fits & (F.col("first.at") < F.col("at")))
-    early = early.groupBy(F.col("sig").alias("b")).agg(F.min(F.struct("first.at", "first.sig")).alias("first")).select(F.col("first.sig").alias("a"), "b").checkpoint()
-    release(docs.sparkSession)
-    found = sets.verified(early, classes).select("b").checkpoint()
-    release(docs.sparkSession)
+    classes = tables.keep(sets.classes(lines, F.min(place).alias("at"), F.count("*").alias("_size")))
+    lines, before = tables.keep(lines.select("sig", "id", "th", "line")), lines
+    tables.drop(before)
+    gone = _matched(classes, tables).select("sig", F.lit(True).alias("gone"))
+    status = tables.keep(classes.select("sig", "at", "_size").join(gone, "sig", "left"))
+    tables.drop(classes)
+    out = spread_join(lines, status, "sig", "_size", lines.count()).where(F.coalesce("gone", F.lit(False)) | (place != F.col("at")))
+    return out.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
-    open_ = entries.join(found.select(F.col("b").alias("sig")), "sig", "left_anti")
-    x, y = open_.alias("x"), entries.alias("y")
-    rest = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("y.at") < F.col("x.at")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")))
-    rest = rest.select(F.col("y.sig").alias("a"), F.col("x.sig").alias("b")).distinct().checkpoint()
-    release(docs.sparkSession)
-    gone = found.union(sets.verified(rest, classes).select("b")).distinct().select(F.col("b").alias("sig"), F.lit(True).alias("gone"))
 
-    status = classes.select("sig", "at").join(gone, "sig", "left").checkpoint()
-    release(docs.sparkSession)
-    out = lines.select("sig", "id", "th", "line").join(status, "sig").where(F.coalesce("gone", F.lit(False)) | (place != F.col("at")))
-    return out.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+def _matched(classes: DataFrame, tables: Tables) -> DataFrame:
+    """``sig`` of the sets that an earlier one matches."""
+    made = tables.keep(sets.postings(classes, ("alone", "at")).select("key", "sig", "n", "most", "alone", "at"))
+    total = made.count()
+    early, central = (F.min(F.struct(*order, "at", "sig", "n", "most")) for order in ((), ("alone",)))
+    lists = made.groupBy("key").agg(early.alias("early"), central.alias("central"), F.count("*").alias("size"), F.min("n").alias("least"), F.max("most").alias("reach")).where("size > 1")
+    entries = tables.keep(spread_join(made, lists, "key", "size", total).where("most >= least and n <= reach").drop("least", "reach"))
+    tables.drop(made)
+    release(tables.spark)
+    leads = None
+    for lead in ("early", "central"):
+        fits = (F.col("n") <= F.col(f"{lead}.most")) & (F.col(f"{lead}.n") <= F.col("most")) & (F.col(f"{lead}.at") < F.col("at"))
+        one = entries.where(fits).groupBy(F.col("sig").alias("b")).agg(F.min(lead).alias("lead")).select(F.col("lead.sig").alias("a"), "b")
+        leads = one if leads is None else leads.union(one)
+    pairs = tables.keep(leads.distinct())
+    found = [tables.keep(sets.verified(pairs, classes, pairs.count()).select("b").distinct())]
+    tables.drop(pairs)
+    for drawn in (*SAMPLED, None):
+        done = reduce(DataFrame.union, found).select(F.col("b").alias("sig"))
+        open_ = entries.join(done, "sig", "left_anti")
+        work = open_.agg(F.sum("size")).first()[0] or 0
+        last = drawn is None or work <= ENOUGH * total
+        if work:
+            few = F.pmod(F.xxhash64("key", "sig", F.lit(drawn or 0)), F.lit(1 << 20)) * F.col("size") < (drawn or 0) * (1 << 20)
+            pairs = tables.keep(_earlier(open_, entries if last else entries.where(few)))
+            found.append(tables.keep(sets.verified(pairs, classes, pairs.count()).select("b").distinct()))
+            tables.drop(pairs)
+        if last:
+            tables.drop(entries)
+            return reduce(DataFrame.union, found).select(F.col("b").alias("sig"))
+
+
+def _earlier(xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """Candidate pairs (a earlier than b) of one list that length and position allow; a long list's ``xs`` are dealt over several places."""
+    places = F.least(F.ceil(F.col("size") / TOGETHER), F.lit(64))
+    x = xs.select("key", "sig", "n", "most", "at", F.pmod(F.xxhash64("sig"), places).alias("place")).alias("x")
+    y = ys.select("key", "sig", "n", "most", "at", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place")).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.place"))
+    fits = (F.col("y.at") < F.col("x.at")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    return x.join(y, same).where(fits).select(F.col("y.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that match an earlier one."""
-    gone = removed_lines(docs, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines")).checkpoint()
+    tables = Tables(docs.sparkSession)
+    gone = tables.keep(removed_lines(docs, tables, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines")))
     release(docs.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     at = docs.columns.index(text_col)

@@ -5,9 +5,12 @@ A text or line is a set of distinct 5-word shingles.  Two sets link when
 occur elsewhere.  ``survivors`` counts every token over the whole corpus, drops the sets
 that cannot have a partner, and orders the tokens of the others by rarity.  Tokens
 travel packed: a task sends each token bucket one array instead of one row a token, and
-the buckets are dealt by the token's hash, so no key gathers in one task.
+the buckets are dealt by the token's hash.  Equal sets of a task are merged before anything is
+sent, so a group of copies costs a set a task and not a set a copy.
 
-Tokens are hashes; the packed form keeps 40 bits and the bucket.
+Tokens are hashes; the packed form keeps 40 bits and the bucket.  Tokens that fall together
+change the order of rarity, which may be any; a pair's overlap is wrong only if two of its own few
+hundred tokens do, about n * m chances in 2^46.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.llm import text as T
+from hexflow.llm.shared import spread_join
 
 #: The least Jaccard similarity of linked sets, as a fraction.
 NUM, DEN = 75, 100
@@ -54,9 +58,10 @@ def sketch(tokens: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, n
 Units = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
-#: Packed rows: a bucket's tokens of a sender (size: how many), or the sender's sets (size: -1).
-NAMES = ["bucket", "sender", "size", "packed"]
-ROW = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+#: Packed rows: a bucket's tokens of a sender (size: how many), its places (size: -1) or its sets (size: -2).
+#: The first ``repeated`` sets of a sender stand for several places each.
+NAMES = ["bucket", "sender", "size", "repeated", "packed"]
+ROW = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _forty(packed: np.ndarray, n: int) -> np.ndarray:
@@ -73,13 +78,14 @@ def _places(packed: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(packed.copy().view(f"u{len(packed) // n}") if n else packed, dtype=np.int64).astype(np.uint32)
 
 
-def survivors(given: DataFrame, units: Units) -> DataFrame:
-    """The sets that can have a partner: ``id, th, line, n, sig, tokens``.
+def survivors(given: DataFrame, units: Units, copies: bool = True) -> DataFrame:
+    """The sets that can have a partner or, with ``copies``, a copy: ``id, th, line, n, sig, tokens``.
 
     ``units`` yields, for the texts of a batch, the sets' id, text hash and line (arrays), the
     distinct tokens ordered by set, and each token's set.  ``tokens`` holds the set's tokens
     that occur more than once, as uint64 in the order of rarity; the n - len(tokens)
-    others would stand before them.
+    others would stand before them.  Of equal sets that one task read together, only the first
+    has them, and without ``copies`` the others have no row.
     """
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(64, size // (6 * BUCKET_TOKENS))
@@ -91,23 +97,37 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
 
         def flush():
             nonlocal held, tokens, items, k
-            base, sets, toks, owners = 0, [], [], []
+            place, sigs, sizes, toks, owners = [], [], [], [], []
+            base = 0
             for ids, th, line, t, o in held:
                 n, sig = sketch(t, o, len(ids))
-                sets.append(np.stack([ids, th, line, n, sig]))
+                place.append(np.stack([ids, th, line]))
+                sizes.append(n)
+                sigs.append(sig)
                 toks.append(t)
                 owners.append(o + base)
                 base += len(ids)
-            t, o = np.concatenate(toks), np.concatenate(owners)
+            n, t, o = np.concatenate(sizes), np.concatenate(toks), np.concatenate(owners)
+            sig, one, of, times = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True, return_counts=True)
+            turn = np.argsort(times < 2, kind="stable")  # sets of several places first
+            rank = np.empty(len(turn), np.int64)
+            rank[turn] = np.arange(len(turn))
+            first = np.zeros(base, bool)
+            first[one] = True
+            kept = np.flatnonzero(first[o])
+            t, o = t[kept], rank[of[o[kept]]]
             bucket = ((t & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if n_buckets < 65536 else bucket, kind="stable")
+            order = np.argsort(o, kind="stable")
+            order = order[np.argsort(bucket[order].astype(np.uint16) if n_buckets < 65536 else bucket[order], kind="stable")]
             t, o, bucket = t[order] >> np.uint64(24), o[order].astype(np.uint32), bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
             end = np.concatenate([cut[1:], [len(bucket)]])
-            name = (task << 24) | k
-            rows = [(int(name % n_buckets), name, -1, np.concatenate(sets, axis=1).astype(np.int64).tobytes())]
+            name, repeated = (task << 24) | k, int((times > 1).sum())
+            at = np.concatenate([np.concatenate(place, axis=1), rank[of][None]]).astype(np.int64)
+            home = int(name % n_buckets)
+            rows = [(home, name, -1, repeated, at.tobytes()), (home, name, -2, repeated, np.stack([n[one][turn], sig[turn]]).astype(np.int64).tobytes())]
             low, high = t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint8)
-            rows += [(int(bucket[a]), name, b - a, low[a:b].tobytes() + high[a:b].tobytes() + _steps(o[a:b])) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]
+            rows += [(int(bucket[a]), name, b - a, repeated, low[a:b].tobytes() + high[a:b].tobytes() + _steps(o[a:b])) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]
             held, tokens, items, k = [], 0, 0, k + 1
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ROW, strict=True)], names=NAMES)
@@ -116,7 +136,8 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
             for unit in units(batch):
                 if items + len(unit[0]) > FLUSH_ITEMS and held:
                     yield flush()
-                held.append(unit)
+                if len(unit[0]):
+                    held.append(unit)
                 tokens, items = tokens + len(unit[3]), items + len(unit[0])
                 if tokens >= FLUSH_TOKENS:
                     yield flush()
@@ -126,59 +147,78 @@ def survivors(given: DataFrame, units: Units) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
         out = [r for r in rows if r[2] < 0]
-        parts = [(s, n, np.frombuffer(p, np.uint8)) for _, s, n, p in rows if n >= 0]
+        parts = [(s, n, d, np.frombuffer(p, np.uint8)) for _, s, n, d, p in rows if n >= 0]
         if parts:
-            t = np.concatenate([_forty(p, n) for _, n, p in parts])
-            _, back, counts = np.unique(t, return_inverse=True, return_counts=True)
-            df = counts[back]
-            at = np.cumsum([0, *(n for _, n, _ in parts)])
-            for (s, n, p), a in zip(parts, at, strict=False):
+            owners = [_places(p[5 * n :], n) for _, n, _, p in parts]
+            _, back = np.unique(np.concatenate([_forty(p, n) for _, n, _, p in parts]), return_inverse=True)
+            df = np.bincount(back, weights=np.concatenate([1.0 + (o < d * copies) for o, (_, _, d, _) in zip(owners, parts, strict=True)])).astype(np.int64)[back]
+            at = np.cumsum([0, *(n for _, n, _, _ in parts)])
+            for (s, n, d, p), own, a in zip(parts, owners, at, strict=False):
                 keep = np.flatnonzero(df[a : a + n] > 1)
                 if len(keep):
                     # rarity only orders the tokens, alike in all sets: beyond 65535 it need not tell them apart
                     often = np.minimum(df[a : a + n][keep], 65535).astype(np.uint16)
                     low, high = p[: 4 * n].view(np.uint32)[keep], p[4 * n : 5 * n][keep]
-                    out.append((rows[0][0], s, len(keep), low.tobytes() + high.tobytes() + often.tobytes() + _steps(_places(p[5 * n :], n)[keep])))
-        cols = list(zip(*out, strict=True)) or [()] * 4
+                    out.append((rows[0][0], s, len(keep), d, low.tobytes() + high.tobytes() + often.tobytes() + _steps(own[keep])))
+        cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, ROW, strict=True)], names=NAMES)
 
     def gather(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
-        sets = np.frombuffer(next(p for _, _, n, p in rows if n < 0), np.int64).reshape(5, -1)
-        parts = [(b, n, np.frombuffer(p, np.uint8)) for b, _, n, p in rows if n >= 0]
+        at = np.frombuffer(next(r[4] for r in rows if r[2] == -1), np.int64).reshape(4, -1)
+        n, sig = np.frombuffer(next(r[4] for r in rows if r[2] == -2), np.int64).reshape(2, -1)
+        parts = [(b, k, np.frombuffer(p, np.uint8)) for b, _, k, _, p in rows if k >= 0]
         if parts:
-            t = np.concatenate([(_forty(p, n) << np.uint64(24)) | np.uint64(b) for b, n, p in parts])
-            df = np.concatenate([p[5 * n : 7 * n].copy().view(np.uint16) for _, n, p in parts])
-            own = np.concatenate([_places(p[7 * n :], n) for _, n, p in parts])
+            t = np.concatenate([(_forty(p, k) << np.uint64(24)) | np.uint64(b) for b, k, p in parts])
+            df = np.concatenate([p[5 * k : 7 * k].copy().view(np.uint16) for _, k, p in parts])
+            own = np.concatenate([_places(p[7 * k :], k) for _, k, p in parts])
         else:
             t, df, own = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-        n = sets[3]
-        known = np.bincount(own, minlength=sets.shape[1])
+        known = np.bincount(own, minlength=len(n))
         fit = (known > 0) & (DEN * known >= NUM * n)
         keep = fit[own]
         t, df, own = t[keep], df[keep], own[keep]
         order = np.lexsort((t, df))
         order = order[np.argsort(own[order], kind="stable")]
-        t, own = t[order], own[order]
-        live = np.flatnonzero(fit)
-        at = np.concatenate([[0], np.cumsum(known[live])]) * 8
-        flat = pa.Array.from_buffers(pa.binary(), len(live), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(t.tobytes())])
-        ids, th, line, n, sig = (pa.array(x[live]) for x in sets)
-        return pa.table([ids, th, line, n, sig, flat], names=["id", "th", "line", "n", "sig", "tokens"])
-
-    kind = "bucket int, sender long, size int, packed binary"
+        t = t[order]
+        end = np.cumsum(np.where(fit, known, 0))
+        live = np.flatnonzero(fit[at[3]])
+        of = at[3][live]
+        first = np.zeros(len(live), bool)
+        first[np.unique(of, return_index=True)[1]] = True
+        if not copies:
+            live, of, first = live[first], of[first], first[first]
+        # the sets' tokens stand in the order of the sets, the places' in that of the places
+        size = np.where(first, known[of], 0)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        flat = t[np.repeat(end[of] - known[of] - cut[:-1], size) + np.arange(cut[-1])]
+        bits = pa.py_buffer(np.packbits(first, bitorder="little").tobytes())
+        packed = pa.Array.from_buffers(pa.binary(), len(live), [bits, pa.py_buffer((cut * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        cols = [at[0][live], at[1][live], at[2][live], n[of], sig[of]]
+        return pa.table([*map(pa.array, cols), packed], names=["id", "th", "line", "n", "sig", "tokens"])
+
+    kind = "bucket int, sender long, size int, repeated int, packed binary"
     counted = given.mapInArrow(send, kind).groupBy("bucket").applyInArrow(count, kind)
     return counted.groupBy("sender").applyInArrow(gather, "id long, th long, line long, n long, sig long, tokens binary")
 
 
+def classes(found: DataFrame, *more: F.Column) -> DataFrame:
+    """A row for each different set: ``sig, n, tokens``, ``alone`` (how many of its tokens no other set has), and these aggregates."""
+    one = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"), *more)
+    return one.withColumn("alone", F.col("n") - (F.octet_length("tokens") / 8).cast("long"))
+
+
 def common(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b: set hashes) whose sets link; b's tokens travel to a's."""
+def verified(pairs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """Those of the ``total`` ``pairs`` (a, b: set hashes) whose sets link; a's tokens travel to b's."""
     held = classes.select("sig", "n", "tokens")
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+    # a set may be in a great many pairs as their first
+    often = pairs.groupBy("a").agg(F.count("*").alias("_size"))
+    first = held.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(often, "a")
+    both = spread_join(pairs, first, "a", "_size", total).drop("_size")
     both = both.join(held.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
 
     def check(batches):

@@ -1,16 +1,26 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, tables kept there, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import gc
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if it has more than one in so many of all rows: there are never more hot keys than that.
+HOT = 1024
+#: Places that the rows of a hot key are dealt over.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set here only where no setting names one, as in tests."""
+    """The session's checkpoint folder; without one, a local session gets a folder of its own and a cluster is told."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -18,3 +28,39 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps now, not at its next periodic round."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+class Tables:
+    """Steps' results as Parquet under the shared folder; they cut lineage and can go once the next step is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.place, self.n = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.place}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes what ``keep`` wrote; nothing that is still to be computed may read it."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined on ``key`` with ``small``, which has a row a key and in ``size`` that key's rows in ``big``.
+
+    The rows of a hot key are dealt over SALTS places by a hash of all their columns, and the
+    key's row of ``small`` goes to each.  Of ``small``, only the hot keys are broadcast, HOT at most.
+    """
+    hot = F.col(size) * HOT > max(total, HOT * SALTS)
+    keys = small.where(hot).select(key, F.lit(True).alias("_hot"))
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    left = big.join(F.broadcast(keys), key, "left").withColumn("_salt", dealt).drop("_hot")
+    places = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.join(small.withColumn("_salt", F.explode(places)), [key, "_salt"], how).drop("_salt")
