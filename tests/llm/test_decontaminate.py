@@ -1,5 +1,8 @@
+import pickle
+import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from hexflow.llm import decontaminate
@@ -29,7 +32,7 @@ ITEMS = [(1, "A b c d e f g"), (2, "x"), (3, "É ü-ñ 12 q"), (4, None), (5, ".
 TEXTS = ["a B,c d\ne f", "x x y x", "", None, "é ü ñ 12 q", "b c d e f g h i", "zz yy zz", "a b c d " * 50, "b c d e " + "long " * 3000 + "c d e f"]
 
 
-@pytest.mark.parametrize("block", [16_000_000, 20])
+@pytest.mark.parametrize("block", [8_000_000, 20])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     docs = spark.createDataFrame([(i, t, "a", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, items string, n_hit int")
@@ -41,6 +44,23 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(TEXTS))) - bad
 
 
+def test_tables_stay_small_and_words_are_compared():
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(r.choices(vocab, k=2000)) for _ in range(200)]
+    block = decontaminate.Block.build([str(i) for i in range(200)], texts, 13)
+    chars = sum(map(len, texts))
+    assert len(pickle.dumps(block)) < 25 * chars
+    doc = " ".join([*r.choices(vocab, k=50), *texts[7].split(" ")[100:140], "zz", *texts[9].split(" ")[5:17]])
+    (hit, items), = decontaminate._scan(pa.array([doc]), block)
+    assert hit.sum() == 40 and hit[50:90].all() and items.tolist() == [7]
+    block.data = block.data.copy()
+    word = texts[7].split(" ")[110]
+    block.data[block.starts[7 * 2000 + 110]] += 1  # as if another word had this one's hash
+    (hit, items), = decontaminate._scan(pa.array([doc]), block)
+    assert word and hit.sum() == 29 and not hit[60]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit) for r in find_contamination(docs, bench).collect()] == [(2, 0)]
