@@ -1,9 +1,13 @@
 import html as entities
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pyarrow.parquet as pq
 
-from hexflow.llm.html_extract import extract, main_text, parse
+from hexflow.llm.html_extract import extract, main_text, parse, style_nodes
 
 PAGES = [
     ("<nav>menu</nav><article><h1>T</h1><p>a <b>b\n c</b>d<br>e</p><aside>x</aside><div class='share-buttons'>s</div></article><footer>f</footer>", "T a b cd e"),
@@ -59,3 +63,45 @@ def test_near_copies_keep_their_article(spark):
     assert all(got[10 + i] == f"{body} line {i}" for i in range(6))  # the short repeated branch still goes
     assert all(got.values())
     assert got[30] == "same words" and got[31] == "1"
+
+
+def test_deep_nesting_stays_linear():
+    deep = "<article>" + "<div class='c'>" * 50_000 + "deep</x>" + "</div>" * 50_000 + "<p>end" + "</b>" * 50_000 + "</article>"
+    began = time.time()
+    root = parse(deep)
+    assert main_text(root) == "deep end" and len(style_nodes(root)) == 50_003
+    assert time.time() - began < 20
+
+
+def random_page(r, host):
+    part = lambda cls, words: f"<div class='{cls}'>{words}</div>"
+    own = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    parts = [part("lead", f"<p>{own(12)}</p>" * r.randint(1, 3)), part("digest", "Read our daily digest"), part("rate", r.choice(["one", "two"]) + " stars"), part("mix", "<ul><li>a</li></ul>" + own(1)), f"<section>{part('inner', 'same in all')}<p>{own(4)}</p></section>"]
+    r.shuffle(parts)
+    return f"<{host}>" + "".join(parts[: r.randint(3, 5)]) + f"</{host}>"
+
+
+def test_equals_brute_force_and_the_tree_decides(spark):
+    r = random.Random(5)
+    rows = [(i, f"http://h{i % 2}.example/x", random_page(r, "article" if i % 2 else "body")) for i in range(60)]
+    entropies = {}
+    for h in (0, 1):
+        seen = {}
+        for page in {p for i, _, p in rows if i % 2 == h}:
+            root = parse(page)
+            for path, (shown, content) in style_nodes(root).items():
+                seen.setdefault(path, set()).add((shown, content, main_text(root)))
+        entropies[h] = {}
+        for path, found in seen.items():
+            n = len(found)
+            if n >= 4:
+                sides = [Counter(f[k] for f in found) for k in (0, 1)]
+                e = [-sum(c / n * math.log(c / n, n) for c in s.values()) for s in sides]
+                entropies[h][path] = (e[0], len(sides[0]), e[1])
+    want = {i: main_text(parse(page), entropies[i % 2]) for i, _, page in rows}
+    got = {x.id: x.text for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    without = {i: main_text(parse(page)) for i, _, page in rows}
+    assert sum(got[i] != without[i] for i in got) > 50  # what the tree takes away
+    assert not any("digest" in t or "stars" in t or "same in all" in t for t in got.values())
+    assert all(set(re.findall(r"w\d+", without[i])) == set(re.findall(r"w\d+", got[i])) for i in got)
