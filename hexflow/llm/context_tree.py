@@ -8,10 +8,12 @@ the training texts.  Before a text stand bytes 0.
 
 Texts are dealt into chunks of about ``CHUNK_BYTES``.  A chunk sends the distinct words and
 byte grams it holds, with their training counts, to buckets dealt by hash; buckets add up the
-counts; the tree is built per group of contexts that share their last two bytes; and each
+counts; the tree is built from depth 3 down in groups that hold whole sets of contexts alike in their
+last three bytes; and each
 chunk gets back one number for each of its words and grams, in the order it sent them.  So
-nothing that grows with the corpus is broadcast or gathered; only the counts of the two
-upper levels (at most 65 536 decisions) and five sums reach the driver.
+nothing that grows without bound is broadcast or gathered: the sums of the upper levels (at most 2^24
+decisions of two bytes' contexts, of which text has a few in a hundred; 12 bytes each when broadcast)
+and five sums reach the driver.  Chances travel as log odds, which do not saturate.
 
 Defined results: a null or empty text is only its end sign; a null doc_id counts as training.
 An empty training set leaves every estimate at one half and every count at nought.  Every
@@ -20,13 +22,15 @@ document row gives one result row, repeated rows included.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.llm import text as T
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import Tables, release
 
 DEPTH = 5
 CHUNK_BYTES = 16_000_000
@@ -97,8 +101,16 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return (T.mix(keys) % np.uint64(n)).astype(np.int64)
 
 
+def _above(code: np.ndarray) -> np.ndarray:
+    """Decisions of the contexts without their furthest byte."""
+    return ((code >> np.uint64(16)) << np.uint64(8)) | (code & np.uint64(0xFF))
+
+
 def _tree(key: np.ndarray, count: np.ndarray):
-    """Per depth 2..DEPTH: decision codes, log KT, log weighted, KT of a one; for grams of whole depth-2 subtrees."""
+    """Per depth 3..DEPTH: decision codes, log KT, log weighted, zeros, ones; for grams of whole depth-3 subtrees.
+
+    Then their sums for depth 2: codes, zeros, ones, log weighted; and each gram's symbol and context.
+    """
     levels = {}
     symbol = (key & np.uint64(0xFF)).astype(np.int64)
     context = key >> np.uint64(8)
@@ -107,60 +119,86 @@ def _tree(key: np.ndarray, count: np.ndarray):
     bit = np.concatenate([(symbol[live] >> (7 - i)) & 1 for i in range(8)])
     times = np.tile(count[live].astype(float), 8)
     code = (np.tile(context[live], 8) << np.uint64(8)) | node.astype(np.uint64)
-    for depth in range(DEPTH, 1, -1):
+    zeros, ones, below = times * (bit == 0), times * (bit == 1), None
+    for depth in range(DEPTH, 2, -1):
         codes, back = np.unique(code, return_inverse=True)
-        if depth == DEPTH:
-            zeros, ones = (np.bincount(back, weights=times * (bit == x), minlength=len(codes)) for x in (0, 1))
-            below = None
-        else:
-            zeros, ones, below = (np.bincount(back, weights=x, minlength=len(codes)) for x in (zeros, ones, weighted))
+        zeros, ones = (np.bincount(back, weights=x, minlength=len(codes)) for x in (zeros, ones))
         kt = log_kt(zeros, ones)
-        weighted = kt if below is None else np.logaddexp(kt, below) - _LN2
-        levels[depth] = codes, kt, weighted, (ones + 0.5) / (zeros + ones + 1), zeros, ones
-        code = ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(0xFF))
-    return levels, symbol, context
+        weighted = kt if below is None else np.logaddexp(kt, np.bincount(back, weights=below, minlength=len(codes))) - _LN2
+        levels[depth] = codes, kt, weighted, zeros, ones
+        code, below = _above(codes), weighted
+    codes, back = np.unique(code, return_inverse=True)
+    return levels, (codes, *(np.bincount(back, weights=x, minlength=len(codes)) for x in (zeros, ones, below))), symbol, context
+
+
+def _mixed(share, zeros, ones, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of a one and of a zero: the context's own estimate in its share, the deeper ones' in the rest."""
+    n = zeros + ones + 1
+    return share * (ones + 0.5) / n + (1 - share) * p, share * (zeros + 0.5) / n + (1 - share) * q
 
 
 def _chances(levels, symbol, context) -> np.ndarray:
-    """Probability of a one at each gram's eight decisions, from depth 2 down."""
+    """Log odds of a one at each gram's eight decisions, from depth 3 down."""
     out = np.empty((len(symbol), 8))
     for i in range(8):
         node = ((1 << i) | (symbol >> (8 - i))).astype(np.uint64)
-        q = np.full(len(symbol), 0.5)
-        for depth in range(DEPTH, 1, -1):
-            codes, kt, weighted, one, _, _ = levels[depth]
+        p = q = np.full(len(symbol), 0.5)
+        for depth in range(DEPTH, 2, -1):
+            codes, kt, weighted, zeros, ones = levels[depth]
             code = ((context >> np.uint64(8 * (DEPTH - depth))) << np.uint64(8)) | node
             if not len(codes):
                 continue
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             known = codes[at] == code
-            own = np.exp(kt[at] - weighted[at] - (_LN2 if depth < DEPTH else 0.0))
-            q = np.where(known, own * one[at] + (1 - own) * q, 0.5)
-        out[:, i] = q
+            share = np.exp(kt[at] - weighted[at] - (_LN2 if depth < DEPTH else 0.0))
+            p, q = (np.where(known, x, 0.5) for x in _mixed(share, zeros[at], ones[at], p, q))
+        out[:, i] = np.log(p) - np.log(q)
     return out
 
 
-def _upper(rows) -> tuple[np.ndarray, ...]:
-    """Share and KT of a one at depths 1 (context, decision) and 0, from depth 2's sums per last byte."""
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-    for r in rows:
-        c, k = divmod(r.code, 256)
-        zeros[c, k], ones[c, k], below[c, k] = r.zeros, r.ones, r.weighted
-    kt1 = log_kt(zeros, ones)
-    weighted1 = np.logaddexp(kt1, below) - _LN2
-    z0, o0, b0 = zeros.sum(axis=0), ones.sum(axis=0), weighted1.sum(axis=0)
-    kt0 = log_kt(z0, o0)
-    weighted0 = np.logaddexp(kt0, b0) - _LN2
-    return np.exp(kt1 - weighted1 - _LN2), (ones + 0.5) / (zeros + ones + 1), np.exp(kt0 - weighted0 - _LN2), (o0 + 0.5) / (z0 + o0 + 1)
+@dataclass
+class Upper:
+    """Depths 2 to 0: codes of the decisions, ascending, the contexts' shares, and log odds of their own estimates."""
+
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Upper:
+        """From the sums of depth 2's decisions over the groups."""
+        levels = []
+        for _ in range(3):
+            codes, back = np.unique(code, return_inverse=True)
+            zeros, ones, below = (np.bincount(back, weights=x, minlength=len(codes)) for x in (zeros, ones, below))
+            kt = log_kt(zeros, ones)
+            weighted = np.logaddexp(kt, below) - _LN2
+            levels.append((codes.astype(np.uint32), np.exp(kt - weighted - _LN2).astype(np.float32), np.log((ones + 0.5) / (zeros + 0.5)).astype(np.float32)))
+            code, below = _above(codes), weighted
+        return cls(levels)
+
+    def log10(self, key: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        """Log probability of each gram's symbol, from the deeper levels' log odds of its eight decisions."""
+        symbol, total = (key & np.uint64(0xFF)).astype(np.int64), np.zeros(len(key))
+        for i in range(8):
+            node = ((1 << i) | (symbol >> (8 - i))).astype(np.uint64)
+            p, q = 1 / (1 + np.exp(-odds[:, i])), 1 / (1 + np.exp(odds[:, i]))
+            for depth, (codes, share, own) in zip((2, 1, 0), self.levels, strict=True):
+                if not len(codes):
+                    continue
+                code = (((key >> np.uint64(8 * (DEPTH + 1 - depth))) << np.uint64(8)) | node).astype(np.uint32)
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                known, w, o = codes[at] == code, share[at].astype(float), own[at].astype(float)
+                p, q = (np.where(known, w / (1 + np.exp(-s * o)) + (1 - w) * x, 0.5) for s, x in ((1, p), (-1, q)))
+            total += np.log10(np.where((symbol >> (7 - i)) & 1, p, q))
+        return total
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; the others train."""
-    shared_dir(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, trained = given.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     n_chunks = max(1, -(-(size or 0) // CHUNK_BYTES))
-    n_buckets = max(64, (size or 0) // 30 // BUCKET_ENTRIES)
+    n_buckets = n_groups = max(64, (size or 0) // 30 // BUCKET_ENTRIES)
     given = given.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
 
     def ask(table: pa.Table) -> pa.Table:
@@ -175,7 +213,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         chunk = pa.array([table.column("chunk")[0].as_py()] * len(rows), pa.int64())
         return pa.table([pa.array(cols[0], pa.int64()), chunk, pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "chunk", "keys", "counts"])
 
-    asked = given.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, keys binary, counts binary").checkpoint()
+    asked = tables.keep(given.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, keys binary, counts binary"))
+    release(docs.sparkSession)
 
     def add(table: pa.Table):
         parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
@@ -185,44 +224,34 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     def sum_grams(table: pa.Table) -> pa.Table:
         _, keys, _, counts = add(table)
-        return pa.table([pa.array((keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["last", "gram", "n"])
+        return pa.table([pa.array(_bucket(keys >> np.uint64(8 * (DEPTH - 2)), n_groups)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["part", "gram", "n"])
 
     def subtree(table: pa.Table) -> pa.Table:
         keys, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        levels, symbol, context = _tree(keys, counts)
-        chances = _chances(levels, symbol, context).astype(np.float32)
-        codes, _, weighted, _, zeros, ones = levels[2]
-        upper = ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(0xFF))
+        levels, (codes, *sums), symbol, context = _tree(keys, counts)
+        odds = _chances(levels, symbol, context).astype(np.float32)
         k, m = len(keys), len(codes)
-        none = pa.nulls(m, pa.binary())
         at = (np.arange(k + 1) * 32).astype(np.int32)
-        flat = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(chances.tobytes())])
+        flat = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(odds.tobytes())])
         nought = np.zeros(k)
         return pa.table(
-            [pa.array(np.concatenate([keys, upper]).view(np.int64)), pa.concat_arrays([flat, none]), *(pa.array(np.concatenate([nought, x])) for x in (zeros, ones, weighted))],
-            names=["code", "chances", "zeros", "ones", "weighted"],
+            [pa.array(np.concatenate([keys, codes]).view(np.int64)), pa.concat_arrays([flat, pa.nulls(m, pa.binary())]), *(pa.array(np.concatenate([nought, x])) for x in sums)],
+            names=["code", "odds", "zeros", "ones", "weighted"],
         )
 
-    counted = asked.where("bucket % 2 = 1").groupBy("bucket").applyInArrow(sum_grams, "last long, gram long, n long")
-    nodes = counted.groupBy("last").applyInArrow(subtree, "code long, chances binary, zeros double, ones double, weighted double").checkpoint()
-    upper = nodes.where("chances is null").groupBy("code").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weighted"))).collect()
-    top = docs.sparkSession.sparkContext.broadcast(_upper(upper))
+    counted = asked.where("bucket % 2 = 1").groupBy("bucket").applyInArrow(sum_grams, "part long, gram long, n long")
+    nodes = tables.keep(counted.groupBy("part").applyInArrow(subtree, "code long, odds binary, zeros double, ones double, weighted double"))
+    release(docs.sparkSession)
+    sums = nodes.where("odds is null").groupBy("code").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weighted"))).toArrow()
+    top = docs.sparkSession.sparkContext.broadcast(Upper.of(sums.column("code").to_numpy().view(np.uint64), *(sums.column(c).to_numpy() for c in ("zeros", "ones", "weighted"))))
 
     def finish(batches):
-        share1, one1, share0, one0 = top.value
         for batch in batches:
             key = batch.column("code").to_numpy().view(np.uint64)
-            symbol, last = (key & np.uint64(0xFF)).astype(np.int64), (key >> np.uint64(8 * DEPTH)).astype(np.int64)
-            q = np.frombuffer(b"".join(batch.column("chances").to_pylist()), np.float32).reshape(-1, 8).astype(float)
-            total = np.zeros(len(key))
-            for i in range(8):
-                node = (1 << i) | (symbol >> (8 - i))
-                p = share1[last, node] * one1[last, node] + (1 - share1[last, node]) * q[:, i]
-                p = share0[node] * one0[node] + (1 - share0[node]) * p
-                total += np.log10(np.where((symbol >> (7 - i)) & 1, p, 1 - p))
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(key, n_buckets) * 2 + 1), batch.column("code"), pa.array(total)], names=["bucket", "gram", "value"])
-
-    model = nodes.where("chances is not null").select("code", "chances").mapInArrow(finish, "bucket long, gram long, value double")
+            odds = np.frombuffer(b"".join(batch.column("odds").to_pylist()), np.float32).reshape(-1, 8).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(key, n_buckets) * 2 + 1), batch.column("code"), pa.array(top.value.log10(key, odds))], names=["bucket", "gram", "value"])
+
+    model = nodes.where("odds is not null").select("code", "odds").mapInArrow(finish, "bucket long, gram long, value double")
 
     def answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
         gram, value = right.column("gram").to_numpy().view(np.uint64), right.column("value").to_numpy()
@@ -242,7 +271,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return pa.table([chunk, bucket, pa.array([*out, None], pa.binary()), *totals], names=["chunk", "bucket", "answer", "n", "distinct"])
 
     kind = "chunk long, bucket long, answer binary"
-    words = asked.where("bucket % 2 = 0").groupBy("bucket").applyInArrow(answer_words, f"{kind}, n long, distinct long").checkpoint()
+    words = asked.where("bucket % 2 = 0").groupBy("bucket").applyInArrow(answer_words, f"{kind}, n long, distinct long")
+    words = tables.keep(words)
     answers = words.where("chunk >= 0").select("chunk", "bucket", "answer").union(asked.where("bucket % 2 = 1").select("bucket", "chunk", "keys").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer_grams, kind))
     n_words, v_words = (x or 0 for x in words.where("chunk < 0").agg(F.sum("n"), F.sum("distinct")).first())
     total, distinct = n_words + trained, v_words + (trained > 0)

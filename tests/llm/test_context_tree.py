@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,17 @@ def test_nothing_to_learn_from(spark):
     got = {r.id: r for r in ct.score(docs, F.lit(True)).collect()}
     assert got[1].train_tokens == got[1].n_known == 0 and got[1].score == pytest.approx(24 * math.log10(0.5), rel=1e-6)
     assert ct.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_counts_of_any_size_do_not_saturate():
+    def key(context, symbol):
+        return int.from_bytes(bytes(context) + bytes([symbol]))
+
+    keys = np.array([key(b"edcba", 0x61), key(b"edcba", 0x9E), key(b"zzzzz", 0x61)], np.uint64)
+    counts = np.array([10**12, 0, 1])
+    levels, sums, symbol, context = ct._tree(keys, counts)
+    odds = ct._chances(levels, symbol, context).astype(np.float32).astype(float)
+    got = ct.Upper.of(*sums).log10(keys, odds)
+    assert np.isfinite(got).all() and -1e-6 < got[0] < 0 and got[1] < -12
+    # the first bit of 0x9E departs from 10^12 equal decisions; what follows was never seen
+    assert got[1] == pytest.approx(math.log10(0.5 / 10**12) + 7 * math.log10(0.5), abs=1.5)
