@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
-from hexflow.llm.shared import Tables, release, spread_join
+from hexflow.llm.shared import Tables, spread_join
 
 #: No boundary is sought beyond this size: the number of subsets only grows from there.
 LARGEST_LIGHT = 16
@@ -149,7 +149,6 @@ def linked(classes: DataFrame, tables: Tables) -> DataFrame:
     lists = made.groupBy("key").agg(lead, F.count("*").alias("size"), F.min("n").alias("least"), F.max("most").alias("reach")).where("size > 1")
     entries = tables.keep(spread_join(made, lists, "key", "size", total).where("most >= least and n <= reach").drop("least", "reach"))
     tables.drop(made)
-    release(tables.spark)
     fits = (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most"))
     near = entries.where(fits & (F.col("sig") != F.col("lead.sig"))).groupBy(F.col("sig").alias("b")).agg(F.min("lead").alias("lead"))
     pairs = tables.keep(near.select(F.col("lead.sig").alias("a"), "b"))
@@ -209,9 +208,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``id, th, n, low`` of every document row: text hash, set size, and id and text hash of its component's first document."""
     tables = Tables(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = sets.survivors(given.select(F.coalesce("id", F.lit(0)).alias("id"), F.lit(0).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text")), text_sets, copies=False)
+    texts = given.select(F.coalesce("id", F.lit(0)).alias("id"), F.lit(0).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    found = tables.keep(sets.survivors(texts, text_sets, copies=False))  # its shuffles are the largest, and go here
     classes = tables.keep(sets.classes(found))
-    release(docs.sparkSession)
+    tables.drop(found)
     stars = linked(classes, tables)
     tables.drop(classes)
     signed = tables.keep(_signed_rows(given))

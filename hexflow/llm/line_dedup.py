@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hexflow.llm import sets
 from hexflow.llm import text as T
-from hexflow.llm.shared import Tables, release, spread_join
+from hexflow.llm.shared import Tables, spread_join
 
 MIN_WORDS = 5
 #: Earlier entries of a list, on average, that unresolved lines meet before they meet all, if all would be more than ENOUGH
@@ -70,7 +70,6 @@ def removed_lines(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_
     """``id, th, lines``: the numbers (from 0) of the lines that go, for each text that loses any."""
     given = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = tables.keep(sets.survivors(given, line_sets))
-    release(tables.spark)
     place = F.struct("id", "th", "line")
     classes = tables.keep(sets.classes(lines, F.min(place).alias("at"), F.count("*").alias("_size")))
     lines, before = tables.keep(lines.select("sig", "id", "th", "line")), lines
@@ -79,7 +78,9 @@ def removed_lines(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_
     status = tables.keep(classes.select("sig", "at", "_size").join(gone, "sig", "left"))
     tables.drop(classes)
     out = spread_join(lines, status, "sig", "_size", lines.count()).where(F.coalesce("gone", F.lit(False)) | (place != F.col("at")))
-    return out.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    out = tables.keep(out.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    tables.drop(lines, status)
+    return out
 
 
 def _matched(classes: DataFrame, tables: Tables) -> DataFrame:
@@ -90,7 +91,6 @@ def _matched(classes: DataFrame, tables: Tables) -> DataFrame:
     lists = made.groupBy("key").agg(early.alias("early"), central.alias("central"), F.count("*").alias("size"), F.min("n").alias("least"), F.max("most").alias("reach")).where("size > 1")
     entries = tables.keep(spread_join(made, lists, "key", "size", total).where("most >= least and n <= reach").drop("least", "reach"))
     tables.drop(made)
-    release(tables.spark)
     leads = None
     for lead in ("early", "central"):
         fits = (F.col("n") <= F.col(f"{lead}.most")) & (F.col(f"{lead}.n") <= F.col("most")) & (F.col(f"{lead}.at") < F.col("at"))
@@ -127,8 +127,7 @@ def _earlier(xs: DataFrame, ys: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that match an earlier one."""
     tables = Tables(docs.sparkSession)
-    gone = tables.keep(removed_lines(docs, tables, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines")))
-    release(docs.sparkSession)
+    gone = removed_lines(docs, tables, id_col, text_col).select(F.struct("id", "th").alias("_place"), F.col("lines").alias("_lines"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     at = docs.columns.index(text_col)
     row = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], F.struct(*_key(id_col, text_col)).alias("_place"))

@@ -29,7 +29,7 @@ from hexflow.llm.shared import spread_join
 #: The least Jaccard similarity of linked sets, as a fraction.
 NUM, DEN = 75, 100
 #: Tokens in a bucket on average, and in what a task sends at once.
-BUCKET_TOKENS, FLUSH_TOKENS, FLUSH_ITEMS = 1_000_000, 1_000_000, 60_000
+BUCKET_TOKENS, FLUSH_TOKENS, FLUSH_ITEMS = 1_000_000, 700_000, 60_000
 
 
 def overlap(n: int | np.ndarray, m: int | np.ndarray):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now, not at its next periodic round."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's setting that drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Tables:
-    """Steps' results as Parquet under the shared folder; they cut lineage and can go once the next step is written."""
+    """Steps' results as Parquet under the shared folder; they cut lineage and can go once the next step is written.
+
+    A step's own shuffle files go when it is written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.place, self.n = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.place}/{self.n}"
-        df.write.parquet(path)
+        path, before = f"{self.place}/{self.n}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out

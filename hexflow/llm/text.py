@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,14 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
+@cache
+def _kept(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x)]), dtype=np.uint64) for x in (_P, _P_INV))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for n positions."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _P)]), dtype=np.uint64)
-        _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _P_INV)]), dtype=np.uint64)
-    return _powers, _inverse
+def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, for n positions; only those of a usual slice are kept."""
+    return _kept(SLICE_BYTES + 1) if n <= SLICE_BYTES + 2 else _kept.__wrapped__(n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +71,7 @@ class Words:
     def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
         """64-bit hashes of byte ranges, of the words by default."""
         starts, ends = (self.starts, self.ends) if starts is None else (starts, ends)
-        powers, inverse = _tables(len(self.data) + 1)
+        powers, inverse = tables(len(self.data) + 1)
         if self._sums is None:
             sums = np.empty(len(self.data) + 1, dtype=np.uint64)
             sums[0] = 0
