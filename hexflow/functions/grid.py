@@ -63,21 +63,21 @@ def cube_round(q: Column, r: Column) -> tuple[Column, Column]:
     return (F.when(q_worst, -fr - fs).otherwise(fq).cast("int"), F.when(~q_worst & r_worst, -fq - fs).otherwise(fr).cast("int"))
 
 
-def grid_path(q0, r0, q1, r1) -> Column:
-    """The cells of the straight line as an array of structs (q, r); the way back is the exact reverse."""
+def path_cell(i: Column, q0, r0, q1, r1) -> tuple[Column, Column]:
+    """The cell of the straight line i steps from its smaller end; so a line has the same cells both ways."""
     q0, r0, q1, r1 = map(_c, (q0, r0, q1, r1))
     forward = (q0 < q1) | ((q0 == q1) & (r0 <= r1))
     pick = lambda a, b: F.when(forward, a).otherwise(b)
     aq, ar, bq, br = pick(q0, q1), pick(r0, r1), pick(q1, q0), pick(r1, r0)
-    n = grid_distance(q0, r0, q1, r1)
+    t = i.cast("double") / F.greatest(F.lit(1), grid_distance(q0, r0, q1, r1)).cast("double")
+    return cube_round(aq + (bq - aq) * t + NUDGE_Q, ar + (br - ar) * t + NUDGE_R)
 
-    def cell(i: Column) -> Column:
-        t = F.when(n == 0, F.lit(0.0)).otherwise(i.cast("double") / n.cast("double"))
-        q, r = cube_round(aq + (bq - aq) * t + NUDGE_Q, ar + (br - ar) * t + NUDGE_R)
-        return F.struct(q.alias("q"), r.alias("r"))
 
-    path = F.transform(F.sequence(F.lit(0), n), cell)
-    return F.when(forward, path).otherwise(F.reverse(path))
+def grid_path(q0, r0, q1, r1) -> Column:
+    """The cells of the straight line as an array of structs (q, r); the way back is the exact reverse."""
+    q0, r0, q1, r1 = map(_c, (q0, r0, q1, r1))
+    path = F.transform(F.sequence(F.lit(0), grid_distance(q0, r0, q1, r1)), lambda i: F.struct(*(c.alias(n) for c, n in zip(path_cell(i, q0, r0, q1, r1), ("q", "r"), strict=True))))
+    return F.when((q0 < q1) | ((q0 == q1) & (r0 <= r1)), path).otherwise(F.reverse(path))
 
 
 def path_cells(q0: int, r0: int, q1: int, r1: int) -> list[tuple[int, int]]:

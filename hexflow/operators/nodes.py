@@ -74,7 +74,7 @@ def pick_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return hit.groupBy("point_id").agg(F.max_by("edit_id", F.struct("draw_order", "edit_id")).alias("edit_id"))
 
 
-TILE = 8.0
+TILE = 2.0
 
 
 def pin_hit(clicks: DataFrame, nodes: DataFrame, pad: float = 0.0) -> DataFrame:

@@ -19,16 +19,20 @@ def destinations(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("type").isin("destination", "dual") & (F.col("weight") > 0))
 
 
+#: Blocks that destinations are dealt into for the pairing.
+OD_BLOCKS = 16
+
+
 def od_matrix(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     """``origin, dest, grid_dist`` of all pairs of different cells.
 
-    Every pair is the result; nodes are what a person placed, so the pairing is a join of two short lists on
-    a constant key.
+    Every pair is the result.  Destinations are dealt into blocks, each origin goes to every block, and the
+    pairs come from an equi-join on the block, so nothing is broadcast unless Spark knows it to be small.
     """
     at = cells.select("cell_id", "q", "r")
-    o = origins(nodes).join(at, "cell_id").select(F.col("cell_id").alias("origin"), F.col("q").alias("q0"), F.col("r").alias("r0"))
-    d = destinations(nodes).join(at, "cell_id").select(F.col("cell_id").alias("dest"), F.col("q").alias("q1"), F.col("r").alias("r1"))
-    return o.join(d, F.col("origin") != F.col("dest")).select("origin", "dest", grid_distance("q0", "r0", "q1", "r1").alias("grid_dist"))
+    o = origins(nodes).join(at, "cell_id").select(F.col("cell_id").alias("origin"), F.col("q").alias("q0"), F.col("r").alias("r0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(OD_BLOCKS - 1).cast("long"))).alias("block"))
+    d = destinations(nodes).join(at, "cell_id").select(F.col("cell_id").alias("dest"), F.col("q").alias("q1"), F.col("r").alias("r1"), F.pmod(F.xxhash64("cell_id"), F.lit(OD_BLOCKS)).alias("block"))
+    return o.join(d, "block").where("origin <> dest").select("origin", "dest", grid_distance("q0", "r0", "q1", "r1").alias("grid_dist"))
 
 
 def reachable_od(nodes: DataFrame, cells: DataFrame, gradients: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ from hexflow.sources import tables as S
 
 #: Rounding of doubles that two engines add up in their own order.
 DIGITS = 6
-#: Simple parameters of the walking query: shallow view, few agents.
-WALK = SimulationParams(vision_depth=3, agents_per_weight_unit=4)
+#: The parameters of the step queries; their view's joins have SQL, which the default depth's would take hours for.
 SHALLOW = SimulationParams(vision_depth=2)
 
 
@@ -79,11 +78,11 @@ def _hops(spark, d) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "step")
     at = S.traces(spark, d).withColumn("prev", F.lag("cell_id").over(w)).where("prev is not null")
     a, b = (S.cells(spark, d).select(F.col("cell_id").alias(c), F.col("q").alias(f"q{i}"), F.col("r").alias(f"r{i}")) for i, c in enumerate(("prev", "cell_id")))
-    return at.select("step", "prev", "cell_id").join(a, "prev").join(b, "cell_id")
+    return at.select("step", "kind", "prev", "cell_id").join(a, "prev").join(b, "cell_id")
 
 
 def line_raster(spark, d):
-    return raster.segment_cells(_hops(spark, d).where("step % 10 = 0").select("step", "q0", "r0", "q1", "r1"), ["step"]).groupBy("q", "r").agg(F.count("*").alias("n"))
+    return raster.segment_cells(_hops(spark, d), []).groupBy("q", "r").agg(F.count("*").alias("n"))
 
 
 def grid_distance(spark, d):
@@ -113,8 +112,8 @@ def degree_histogram(spark, d):
 
 
 def _corridor(spark, d):
-    """Cells of consecutive traces of every fiftieth step, as corridors."""
-    path = raster.segment_cells(_hops(spark, d).where("step % 50 = 0").select("step", "q0", "r0", "q1", "r1"), ["step"]).select("q", "r").distinct()
+    """Cells between consecutive traces of purchases, as corridors."""
+    path = raster.segment_cells(_hops(spark, d).where("kind = 'purchase'"), []).distinct()
     return S.cells(spark, d).join(path, ["q", "r"]).select("cell_id")
 
 
@@ -208,9 +207,9 @@ def max_ticks(spark, d):
 
 
 def _candidates(spark, d):
-    """One agent per user trace, heading north-east or where the trace's step says, towards every destination that its cell reaches."""
-    c, g = S.cells(spark, d), gradients(spark, d).persist()
-    t = S.traces(spark, d).where("step % 20 = 0")
+    """One agent per user trace, heading where the trace's step says, towards every destination that its cell reaches."""
+    c, g = S.cells(spark, d), gradients(spark, d)
+    t = S.traces(spark, d)
     at = t.select("user_id", "step", "cell_id").join(g.where("dist8 > 0").select("dest", "cell_id"), "cell_id")
     agent = F.concat_ws(":", "cell_id", "dest", "step")
     agents = at.select(agent.alias("agent"), F.col("cell_id").alias("curr"), "dest", ((F.col("step") * 7) % 360).alias("heading"))
@@ -246,12 +245,12 @@ def desire_grouping_sets(spark, d):
 
 
 def desire_walk(spark, d):
-    """The flagship: visits per destination and cell of seeded agents in synchronised waves."""
+    """The flagship: visits per destination and cell of all seeded agents, in as many waves as they need."""
     from hexflow.sources.shared import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     cells = friction.initial_affordance(ground_cells(spark, d))
-    return walk.simulate(cells, S.nodes(spark, d), WALK, waves=2)
+    return walk.simulate(cells, S.nodes(spark, d), SimulationParams())
 
 
 def _state(spark, d):
@@ -285,7 +284,7 @@ def peak_flow(spark, d):
 
 
 def geojson_rows(spark, d):
-    return report.export_rows(trace_desire(spark, d), S.cells(spark, d).where("q < 25"), _state(spark, d))
+    return report.export_rows(trace_desire(spark, d), S.cells(spark, d), _state(spark, d))
 
 
 def tooltips(spark, d):
@@ -340,11 +339,11 @@ def sum_of_paths(spark, d):
 
 def accuracy_k(spark, d):
     t = S.traces(spark, d)
-    return _round(report.accuracy(t.where("step % 2 = 0"), t.where("step % 50 = 1"), S.cells(spark, d), 2), "accuracy")
+    return _round(report.accuracy(t.where("kind <> 'purchase'"), t.where("kind = 'purchase'"), S.cells(spark, d), 2), "accuracy")
 
 
 def latency_percentiles(spark, d):
-    return report.latencies(S.table(spark, d, "events")).select("event_type", "n", "max")
+    return report.latencies(S.table(spark, d, "events"))
 
 
 def trace_windows(spark, d):

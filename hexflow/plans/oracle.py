@@ -13,7 +13,7 @@ _CTE = {
         CAST(CASE WHEN p_size % 10 < 5 THEN 1.0 WHEN p_size % 10 < 7 THEN 2.5 WHEN p_size % 10 < 9 THEN 4.0 ELSE 999999.0 END AS DOUBLE) AS friction FROM part""",
     "hits": """SELECT l_partkey AS cell_id, CASE l_linenumber WHEN 7 THEN '1' WHEN 6 THEN '-1' ELSE '0' END AS layer,
         CAST(CASE WHEN l_orderkey % 100 = 0 THEN 999999.0 WHEN l_quantity <= 10 THEN 1.0 WHEN l_quantity <= 25 THEN 2.5 ELSE 4.0 END AS DOUBLE) AS friction
-        FROM lineitem WHERE l_orderkey % 7 = 0""",
+        FROM lineitem""",
     "layers": "SELECT cell_id, layer, CASE WHEN max(friction) >= 999999.0 THEN 999999.0 ELSE min(friction) END AS friction FROM hits GROUP BY cell_id, layer",
     "ground": "SELECT c.cell_id, coalesce(l.friction, 1.0) AS friction FROM cells c LEFT JOIN layers l ON l.cell_id = c.cell_id AND l.layer = '0'",
     "nodes": """SELECT n.n_nationkey AS node_ord, CAST(n.n_nationkey * FLOOR(c.n / 25.0) + 3 AS BIGINT) AS cell_id,
@@ -21,7 +21,7 @@ _CTE = {
         FROM nation n CROSS JOIN (SELECT COUNT(*) AS n FROM part) c""",
     "edits": """SELECT o_orderkey AS edit_id, o_orderkey AS draw_order, CASE o_orderstatus WHEN 'F' THEN 'PAVEMENT' WHEN 'O' THEN 'HEAVY_GRASS' ELSE 'IMPASSABLE' END AS surface_class,
         CAST(o_custkey % 46 AS INT) AS q0, CAST(o_custkey % 46 + 4 AS INT) AS q1, CAST(FLOOR(o_orderkey / 500.0) AS INT) AS r0, CAST(FLOOR(o_orderkey / 500.0) + 2 AS INT) AS r1
-        FROM orders WHERE o_orderkey % 500 = 0""",
+        FROM orders""",
     "boxes": """SELECT edit_id, draw_order, q0 + r0 / 2.0::DOUBLE - 0.25::DOUBLE AS x0, q1 + r1 / 2.0::DOUBLE + 0.25::DOUBLE AS x1, r0 * 0.8660254037844386::DOUBLE - 0.1::DOUBLE AS y0, r1 * 0.8660254037844386::DOUBLE + 0.1::DOUBLE AS y1 FROM edits""",
     "traces": """SELECT e.user_id, e.ts, e.event_id AS step, (e.user_id * 131 + e.event_id) % c.n AS cell_id, e.event_type AS kind FROM events e CROSS JOIN (SELECT COUNT(*) AS n FROM part) c""",
     "desire": "SELECT cell_id, count(*) AS score FROM traces GROUP BY cell_id",
@@ -37,8 +37,8 @@ _CTE = {
     "disk2": f"SELECT *, CAST((abs(dq) + abs(dr) + abs(dq + dr)) / 2 AS INT) AS d FROM (VALUES {', '.join(map(str, disk_offsets(2)))}) AS t(dq, dr)",
     "edges": "SELECT a.cell_id AS src, b.cell_id AS dst, a.q AS q0, a.r AS r0, b.q AS q1, b.r AS r1, a.friction AS f0, b.friction AS f1, b.ord AS dst_ord FROM cells a CROSS JOIN offs o JOIN cells b ON b.q = a.q + o.dq AND b.r = a.r + o.dr",
     "adj": "SELECT src, dst, CAST(floor(8 * f1 + 0.5) AS INT) AS w8 FROM edges WHERE f0 < 999999 AND f1 < 999999",
-    "hops": """SELECT step, prev, t.cell_id, a.q AS q0, a.r AS r0, b.q AS q1, b.r AS r1
-        FROM (SELECT step, cell_id, lag(cell_id) OVER (PARTITION BY user_id ORDER BY ts, step) AS prev FROM traces) t JOIN cells a ON a.cell_id = prev JOIN cells b ON b.cell_id = t.cell_id""",
+    "hops": """SELECT step, kind, prev, t.cell_id, a.q AS q0, a.r AS r0, b.q AS q1, b.r AS r1
+        FROM (SELECT step, kind, cell_id, lag(cell_id) OVER (PARTITION BY user_id ORDER BY ts, step) AS prev FROM traces) t JOIN cells a ON a.cell_id = prev JOIN cells b ON b.cell_id = t.cell_id""",
     "dests": "SELECT DISTINCT n.cell_id AS dest FROM nodes n WHERE type IN ('destination', 'dual')",
     "g": """SELECT d.dest, d.dest AS cell_id, CAST(0 AS BIGINT) AS dist8 FROM dests d JOIN cells c ON c.cell_id = d.dest WHERE c.friction < 999999
         UNION SELECT g.dest, a.dst, min(g.dist8 + a.w8) FROM g JOIN adj a ON a.src = g.cell_id LEFT JOIN recurring.g k ON k.dest = g.dest AND k.cell_id = a.dst
@@ -59,19 +59,19 @@ _CTE = {
     "halo": """SELECT c.cell_id, least(999998.0, c.friction + w * 3.0) AS friction, w FROM (SELECT cell_id, sum(CASE d WHEN 1 THEN exp(-0.5::DOUBLE * (1 / 1.5::DOUBLE) ** 2) ELSE exp(-0.5::DOUBLE * (2 / 1.5::DOUBLE) ** 2) END) AS w
         FROM (SELECT s, cell_id, min(d) AS d FROM (SELECT src AS s, dst AS cell_id, 1 AS d FROM edges WHERE f0 >= 999999 UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.f0 >= 999999 AND a.src <> b.dst) GROUP BY s, cell_id) GROUP BY cell_id) h
         JOIN cells c ON c.cell_id = h.cell_id WHERE c.friction < 999999""",
-    "lerp": """SELECT step, q0, r0, q1, r1, i, n, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / n::DOUBLE END AS t,
+    "lerp": """SELECT step, kind, q0, r0, q1, r1, i, n, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / n::DOUBLE END AS t,
         CASE WHEN (q0, r0) <= (q1, r1) THEN q0 ELSE q1 END AS aq, CASE WHEN (q0, r0) <= (q1, r1) THEN r0 ELSE r1 END AS ar,
         CASE WHEN (q0, r0) <= (q1, r1) THEN q1 ELSE q0 END AS bq, CASE WHEN (q0, r0) <= (q1, r1) THEN r1 ELSE r0 END AS br
-        FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, CAST((abs(q1 - q0) + abs(r1 - r0) + abs(q1 - q0 + r1 - r0)) / 2 AS INT) AS n FROM hops WHERE step % 10 = 0))""",
-    "frac": "SELECT step, aq + (bq - aq) * t + 0.000001::DOUBLE AS fq, ar + (br - ar) * t + 0.000002::DOUBLE AS fr FROM lerp",
+        FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, CAST((abs(q1 - q0) + abs(r1 - r0) + abs(q1 - q0 + r1 - r0)) / 2 AS INT) AS n FROM hops))""",
+    "frac": "SELECT step, kind, aq + (bq - aq) * t + 0.000001::DOUBLE AS fq, ar + (br - ar) * t + 0.000002::DOUBLE AS fr FROM lerp",
     "cube": "SELECT *, -fq - fr AS fs, floor(fq + 0.5) AS iq, floor(fr + 0.5) AS ir, floor(-fq - fr + 0.5) AS is_ FROM frac",
-    "path": """SELECT DISTINCT step, CAST(CASE WHEN abs(iq - fq) > abs(ir - fr) AND abs(iq - fq) > abs(is_ - fs) THEN -ir - is_ ELSE iq END AS INT) AS q,
+    "path": """SELECT DISTINCT step, kind, CAST(CASE WHEN abs(iq - fq) > abs(ir - fr) AND abs(iq - fq) > abs(is_ - fs) THEN -ir - is_ ELSE iq END AS INT) AS q,
         CAST(CASE WHEN NOT (abs(iq - fq) > abs(ir - fr) AND abs(iq - fq) > abs(is_ - fs)) AND abs(ir - fr) > abs(is_ - fs) THEN -iq - is_ ELSE ir END AS INT) AS r FROM cube""",
-    "corridor": "SELECT DISTINCT c.cell_id, c.q, c.r FROM path p JOIN cells c ON c.q = p.q AND c.r = p.r WHERE step % 50 = 0",
+    "corridor": "SELECT DISTINCT c.cell_id, c.q, c.r FROM path p JOIN cells c ON c.q = p.q AND c.r = p.r WHERE kind = 'purchase'",
     "wide": """SELECT c.cell_id, greatest(1.0, c.friction - w * 1.5) AS friction, w FROM (SELECT s.q + o.dq AS q, s.r + o.dr AS r, sum(exp(-0.5::DOUBLE)) AS w FROM corridor s, offs o GROUP BY 1, 2) x
         JOIN cells c ON c.q = x.q AND c.r = x.r WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.cell_id = c.cell_id AND l.friction >= 4.0)""",
     "agents": """SELECT concat_ws(':', t.cell_id, g.dest, t.step) AS agent, t.cell_id AS curr, g.dest, (t.step * 7) % 360 AS heading, g.dist8 / 8.0::DOUBLE AS g_curr
-        FROM traces t JOIN g ON g.cell_id = t.cell_id AND g.dist8 > 0 WHERE t.step % 20 = 0""",
+        FROM traces t JOIN g ON g.cell_id = t.cell_id AND g.dist8 > 0""",
     "cand": """SELECT a.*, v.dst, v.dst_ord, abs((((v.bearing - a.heading + 540.0::DOUBLE) % 360.0) + 360.0) % 360.0 - 180.0) AS angle, c.friction, coalesce(d.score, 0) AS footprints, g.dist8 / 8.0::DOUBLE AS g,
         CASE WHEN c.friction < 1.75 THEN 1.0 WHEN c.friction < 3.25 THEN 0.6 ELSE 0.3 END::DOUBLE AS affordance
         FROM agents a JOIN visb v ON v.src = a.curr JOIN cells c ON c.cell_id = v.dst LEFT JOIN desire d ON d.cell_id = v.dst JOIN g ON g.dest = a.dest AND g.cell_id = v.dst""",
@@ -209,8 +209,8 @@ ORACLE_SQL = {
     "mdd": _with("g", "traces", body="""SELECT dest, round(avg(abs(d - least_)), 6) AS mdd FROM (SELECT dest, walk_id, dist8 / 8.0::DOUBLE AS d, min(dist8 / 8.0::DOUBLE) OVER (PARTITION BY dest, walk_id) AS least_
         FROM (SELECT n.dest, t.user_id AS walk_id, t.cell_id FROM traces t JOIN (SELECT dest, row_number() OVER (ORDER BY dest) - 1 AS k FROM dests) n ON n.k = t.user_id % 16) s JOIN g USING (dest, cell_id)) GROUP BY dest"""),
     "sum_of_paths": _with("desire", body="SELECT CAST(threshold AS INT) AS threshold, count(*) FILTER (score > threshold) AS n_cells FROM desire, (VALUES (0), (1), (2), (5), (10)) t(threshold) GROUP BY 1"),
-    "accuracy_k": _with("traces", "cells", "disk2", body="""SELECT count(*) AS n_steps, count(n.cell_id) AS n_near, round(count(n.cell_id) / greatest(count(*), 1), 6) AS accuracy FROM (SELECT cell_id FROM traces WHERE step % 2 = 0) s LEFT JOIN
-        (SELECT DISTINCT b.cell_id FROM (SELECT DISTINCT cell_id FROM traces WHERE step % 50 = 1) t JOIN cells a USING (cell_id), disk2 o JOIN cells b ON b.q = a.q + o.dq AND b.r = a.r + o.dr) n USING (cell_id)"""),
-    "latency_percentiles": "SELECT event_type, count(*) AS n, max(value) AS max FROM events GROUP BY event_type",
+    "accuracy_k": _with("traces", "cells", "disk2", body="""SELECT count(*) AS n_steps, count(n.cell_id) AS n_near, round(count(n.cell_id) / greatest(count(*), 1), 6) AS accuracy FROM (SELECT cell_id FROM traces WHERE kind <> 'purchase') s LEFT JOIN
+        (SELECT DISTINCT b.cell_id FROM (SELECT DISTINCT cell_id FROM traces WHERE kind = 'purchase') t JOIN cells a USING (cell_id), disk2 o JOIN cells b ON b.q = a.q + o.dq AND b.r = a.r + o.dr) n USING (cell_id)"""),
+    "latency_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY event_type",
     "trace_windows": _with("traces", body="SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, kind, count(*) AS n FROM traces GROUP BY 1, 2"),
 }

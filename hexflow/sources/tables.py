@@ -32,7 +32,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.when(F.col("l_linenumber") == 7, "1").when(F.col("l_linenumber") == 6, "-1").otherwise("0")
     friction = F.when(F.col("l_orderkey") % 100 == 0, 999999.0).when(F.col("l_quantity") <= 10, 1.0).when(F.col("l_quantity") <= 25, 2.5).otherwise(4.0)
-    out = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    out = table(spark, sf_dir, "lineitem")
     return conform(out.select(F.col("l_partkey").alias("cell_id"), layer.alias("layer"), friction.alias("friction")), "feature_hits")
 
 
@@ -47,7 +47,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     cls = F.when(F.col("o_orderstatus") == "F", "PAVEMENT").when(F.col("o_orderstatus") == "O", "HEAVY_GRASS").otherwise("IMPASSABLE")
-    out = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0")
+    out = table(spark, sf_dir, "orders")
     row = F.floor(o / 500.0)
     return conform(out.select(o.alias("edit_id"), o.alias("draw_order"), cls.alias("surface_class"), (c % 46).alias("q0"), (c % 46 + 4).alias("q1"), row.alias("r0"), (row + 2).alias("r1")), "edits")
 

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import plain_walk
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,11 +193,37 @@ def test_kernel_step_equals_the_declarative_step(spark):
         got = {r.agent: r.next for r in (step.best_step if t == 0 else step.softmax_step)(cands, p).collect()}
         for i in range(7, 30):
             at = int(np.searchsorted(ground.ids, i))
-            assert ground.ids[walk.choose(ground, p, at, f"1:30:{i}", 45.0, far, 0.05 * np.log1p(marks))] == got[f"1:30:{i}"]
+            chosen = walk.choose(ground, p, np.array([at]), walk.seeds([f"1:30:{i}"]), np.array([45.0]), far, 0.05 * np.log1p(marks))
+            assert ground.ids[chosen[0]] == got[f"1:30:{i}"]
     alone = step.fallback_step(agents, cells, g)
     assert {r.agent: r.next for r in alone.collect()} == {f"1:30:{i}": int(ground.ids[walk.fallback(ground, int(np.searchsorted(ground.ids, i)), far)]) for i in range(7, 30)}
 
 
+def random_ground(seed, barred):
+    r = random.Random(seed)
+    rows = [(100 + 7 * i, q, s, r.randrange(10**6), r.choice([1.0, 1.0, 2.5, 4.0] + [IMPASSABLE] * barred)) for i, (q, s) in enumerate(grid.disk_offsets(8))]
+    return [(*x[:3], k, x[4], {1.0: 1.0, 2.5: 0.6, 4.0: 0.3}.get(x[4], 0.0)) for x in rows for k in [sorted(y[3] for y in rows).index(x[3])]]
+
+
+@pytest.mark.parametrize("p", [SimulationParams(vision_depth=4, temperature=0), SimulationParams(vision_depth=15), SimulationParams(vision_depth=3, field_of_view=60, temperature=0.25, wave_in_seed=True)])
+def test_walk_equals_the_plain_replay(spark, p):
+    import dataclasses
+
+    p = dataclasses.replace(p, agents_per_weight_unit=3)
+    for seed, barred in ((1, 0), (2, 2)):
+        rows = random_ground(seed, barred)
+        cells = spark.createDataFrame(rows, "cell_id long, q int, r int, ord int, friction double, affordance double").repartition(5)
+        g = plain_walk.Ground.of(cells.toPandas())
+        reached = [c for c, f in zip(g.ids.tolist(), g.distances(int(g.ids[len(g.ids) // 2])), strict=True) if f < float("inf")]
+        picked = [(k, reached[k * len(reached) // 6], kind, 1 + k) for k, kind in enumerate(["origin", "destination", "dual", "origin", "destination", "dual"])]
+        n = spark.createDataFrame(picked, "node_ord int, cell_id long, type string, weight int")
+        fields = graph.gradient(cells, plan.destinations(n).select(F.col("cell_id").alias("dest")))
+        pairs = plan.apportion(plan.reachable_od(n, cells, fields), p.agents_per_weight_unit).join(plan.od_matrix(n, cells), ["origin", "dest"])
+        known = [tuple(x) for x in pairs.select("origin", "dest", "assigned", "grid_dist", plan.max_ticks(F.col("grid_dist"), F.lit(len(rows)))).collect()]
+        got = {(x.dest, x.cell_id): x.n for x in walk.simulate(cells, n, p, waves=3).collect()}
+        assert got == plain_walk.simulate(cells.toPandas(), known, p, 3) and len(got) > 20
+
+
 def test_wear_and_decay_bounds(spark):
     rows = [(1, 1.0, 1.0), (2, 2.5, 0.9), (3, 4.0, 0.3), (4, IMPASSABLE, 0.0), (5, 2.4, 0.02)]
     cells = spark.createDataFrame(rows, "cell_id long, friction double, affordance double")
