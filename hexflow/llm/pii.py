@@ -1,8 +1,11 @@
 """Personal data by patterns and a character-level bidirectional LSTM with CRF transitions.
 
 The base spans come from fixed patterns.  The tagger is trained in numpy on stretches of
-text whose labelled spans are the base ones; at most ``PER_KIND`` stretches of each kind and as many
-without any.  It then reads overlapping windows of every text; where two windows cover a
+text whose labelled spans are the base ones, and on noisy variants of them that the patterns miss but that
+keep their label: phone numbers without the plus or with 00, other separators in phone and card numbers, spaces
+around an @.  Variants of the stretches without a span get dates, times, amounts and codes, so that these are told
+apart.  The stretches are at most ``PER_KIND`` of each kind and as many without any, from at most about
+``SAMPLE_DOCS`` documents chosen by a hash of their id.  It then reads overlapping windows of every text; where two windows cover a
 character, the one in which it stands further from an edge decides, over the whole
 text.  A tagged run that overlaps no base span of its kind is added if it has its kind's
 evidence (an @, or enough digits).  A window without a digit and an @ cannot give such a run, so
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import Tables
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training stretches of each kind, and their characters.
 PER_KIND, STRETCH = 400, 96
+#: Documents that training stretches are taken from, about.
+SAMPLE_DOCS = 50_000
 WINDOW, STEP, LANES = 128, 96, 2048
 HIDDEN, EPOCHS, BATCH, RATE = 12, 14, 64, 0.02
 CLASSES = 130  # ASCII, everything else, padding
@@ -238,10 +243,31 @@ def tagged(tagger: Tagger, texts: list[np.ndarray]) -> list[list[tuple[int, int,
     return out
 
 
+def variant(kind: int, text: str, draw: int) -> str:
+    """Another writing of a span, drawn by a number."""
+    if kind == 0:
+        return text.replace("@", (" @ ", " @", "@ ")[draw % 3])
+    digits = "".join(c for c in text if c in "0123456789")
+    mark = (" ", ".", "-", "/", "  ")[draw // 3 % 5]
+    if kind == 2:
+        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3:
+        lead = ("", "00", "(0) ", "+")[draw % 4]
+        return lead + mark.join(digits[a:b] for a, b in ((0, 2), (2, 5), (5, 8), (8, 99)) if digits[a:b])
+    return text
+
+
+def other(draw: int) -> str:
+    """A date, time, amount or code: digits that are no personal data."""
+    a, b, c = draw % 28 + 1, draw // 28 % 12 + 1, draw // 336 % 60
+    return (f"20{c:02}-{b:02}-{a:02}", f"{a:02}.{b:02}.20{c:02}", f"{b}:{c:02}", f"{a},{c:02}0.{b:02}", f"No. {draw % 10**6}", f"A{a}-{c}{b}", f"{a}.{b}", f"{draw % 10**4}", f"v{b}.{c}.{a}", f"{a * 1000 + c}-{b * 100}")[draw // 7 % 10]
+
+
 def _evident(kind: int, text: str) -> bool:
     digits = sum(c in "0123456789" for c in text)
     if kind == 0:
-        return "@" in text[1:-1] and "." in text and not any(c.isspace() for c in text)
+        local, _, domain = text.partition("@")
+        return "." in domain.strip() and not any(c.isspace() for c in local.strip() + domain.strip()) and bool(local.strip())
     if kind == 1:
         return 4 <= digits <= 12 and text.count(".") == 3
     return 12 <= digits <= 19 if kind == 2 else 8 <= digits <= 15
@@ -272,30 +298,44 @@ def training_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Character classes and tags of at most PER_KIND stretches of each kind, and of none."""
 
     def cut(batches):
+        held: list[dict] = [{} for _ in range(2 * len(KINDS) + 2)]  # by kind, without and with variants: priority and stretch
         for batch in batches:
-            kinds, priority, chars, tags = [], [], [], []
             for text in batch.column("text").to_pylist():
                 spans, codes = base_spans(text), _codes(text)
                 whole = np.zeros(len(codes), np.int8)
                 for k, own in enumerate(spans):
                     for a, b in own:
                         whole[a:b] = k + 1
-                middles = [(k, (a + b) // 2) for k, own in enumerate(spans) for a, b in own]
-                middles += [(4, int(p)) for p in np.flatnonzero(_EVIDENCE[codes] & (whole == 0))[::40]]
-                for k, p in middles:
+                middles = [(k, a, b) for k, own in enumerate(spans) for a, b in own]
+                middles += [(len(KINDS), int(p), int(p)) for p in np.flatnonzero(_EVIDENCE[codes] & (whole == 0))[::40]]
+                for k, a, b in middles:
+                    p = (a + b) // 2
                     shift = zlib.crc32(f"{p}".encode()) % (STRETCH // 2) - STRETCH // 4
                     s = max(0, min(p - STRETCH // 2 + shift, len(codes) - STRETCH))
-                    raw = codes[s : s + STRETCH].astype(np.uint8).tobytes()
-                    kinds.append(k)
-                    priority.append(zlib.crc32(raw))
-                    chars.append(raw)
-                    tags.append(whole[s : s + STRETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(priority, pa.int64()), pa.array(chars, pa.binary()), pa.array(tags, pa.binary())], names=["kind", "priority", "chars", "tags"])
-
-    shared_dir(docs.sparkSession)
-    given = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    stretches = given.mapInArrow(cut, "kind int, priority long, chars binary, tags binary").checkpoint()
-    rows = [r for k in range(len(KINDS) + 1) for r in stretches.where(F.col("kind") == k).orderBy("priority", "chars", "tags").limit(PER_KIND).collect()]
+                    raw, own = codes[s : s + STRETCH].astype(np.uint8).tobytes(), whole[s : s + STRETCH].tobytes()
+                    draw = zlib.crc32(raw)
+                    held[2 * k][draw, raw, own] = None
+                    new = other(draw) if k == len(KINDS) else variant(k, text[a:b], draw)
+                    if k == len(KINDS):
+                        a = b = next((i for i in range(p, min(p + STRETCH, len(text))) if text[i].isspace()), p)
+                        new = f" {new} "
+                    if a >= s and new != text[a:b]:
+                        fresh = _codes(new).astype(np.uint8).tobytes()
+                        raw = (raw[: a - s] + fresh + codes[b : b + STRETCH].astype(np.uint8).tobytes())[:STRETCH]
+                        own = (own[: a - s] + bytes([(k + 1) % (len(KINDS) + 1)]) * len(fresh) + whole[b : b + STRETCH].tobytes())[:STRETCH]
+                        held[2 * k + 1][zlib.crc32(raw), raw, own] = None
+            for x in held:
+                for key in sorted(x)[PER_KIND // 2 :]:
+                    del x[key]
+        rows = [(k, *key) for k, x in enumerate(held) for key in x]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "priority", "chars", "tags"])
+
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    part = SAMPLE_DOCS / max(1, docs.count())
+    given = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30))).where(F.col("text").rlike("[0-9@]")).select("text")
+    stretches = Tables(docs.sparkSession).keep(given.mapInArrow(cut, "kind int, priority long, chars binary, tags binary").distinct())
+    rows = [r for k in range(2 * len(KINDS) + 2) for r in stretches.where(F.col("kind") == k).orderBy("priority", "chars", "tags").limit(PER_KIND // 2).collect()]
     chars, tags = np.full((len(rows), STRETCH), PAD, np.int64), np.zeros((len(rows), STRETCH), np.int64)
     for i, r in enumerate(rows):
         chars[i, : len(r.chars)] = np.frombuffer(r.chars, np.uint8)
@@ -345,4 +385,4 @@ def op4_bilstm_crf(spark, sf_dir: str) -> DataFrame:
     found = find_pii(docs, learn(docs))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

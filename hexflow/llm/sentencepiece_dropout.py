@@ -347,6 +347,11 @@ class Pieces:
         keep[at[:-1][full]] = False
         return out[keep], at - np.concatenate([[0], np.cumsum(full)])
 
+    def raw_text(self, ids: list[int]) -> str:
+        """One text from its pieces."""
+        out, _ = self.decode(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))
+        return out.tobytes().decode()
+
 
 def keys_of(ids: pa.Array) -> np.ndarray:
     """A document's key, from its id alone."""

@@ -6,15 +6,15 @@ are composed into one, and each clause is read by the composition.  What it writ
 tells matched patterns apart: an aimed insult from a bare, a negated or a reported one.
 A text's score is the logistic of the weighted pattern counts.
 
-The lexicon is a short list of English words plus words and word stems learned from
+The lexicon is short lists of words in four languages plus words and word stems learned from
 labelled rows; the weights are fitted on the same rows around hand-set values.  Both use
 at most ``SAMPLE`` labelled documents, chosen by a hash of their id, and lexicon and
 weights are all that reaches the driver.
 
 Defined results: a null or empty text, or one without a match, gets the grammar's base score.
 Labels that are null, or whose doc_id is null or without a document, teach nothing; a document with
-several labels counts as toxic if one says so.  Without labels, the hand-set weights
-and the English words hold.  Every document row gives one result row.
+several labels counts as toxic if one says so, and of several texts with one doc_id the one of least hash teaches.  Without labels, the hand-set weights
+and the listed words hold.  Every document row gives one result row.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.llm import text as T
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import Tables
 
 #: Most labelled documents that lexicon and weights are learned from.
 SAMPLE = 20_000
@@ -37,13 +37,14 @@ CANDIDATES, SUPPORT = 5_000, 4
 STEM_BYTES = (4, 5, 6, 7, 8)
 
 OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, INTENT, STOP = "oITPNRF."
+# Words of each symbol, in English, German, French and Spanish.
 WORDS = {
     INSULT: "idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown disgusting dumb imbecile retard bastard bitch asshole fool filthy vermin garbage jerk degenerate cretin dimwit",
-    THREAT: "kill hurt murder destroy beat stab shoot strangle burn hang",
-    TARGET: "you your yours youre he him she her they them their u",
+    THREAT: "kill hurt murder destroy beat stab shoot strangle burn hang töten umbringen ermorden erschießen verprügeln tuer assassiner frapper égorger matar asesinar golpear degollar",
+    TARGET: "you your yours youre he him she her they them their u dich dir euch euer deine ihn ihnen toi vous votre elle eux usted ustedes vosotros ella ellos",
     NEGATOR: "not no never isn aren wasn don doesn nor without neither nicht kein keine nie pas jamais nunca",
-    REPORT: "said says say wrote writes claimed claims quoted quote reported reports alleged called told tells",
-    INTENT: "will gonna going ll shall must should want wanna",
+    REPORT: "said says say wrote writes claimed claims quoted quote reported reports alleged called told tells sagte sagten schrieb schreibt behauptet zitierte dijo dijeron escribió afirmó citó affirma écrit déclara",
+    INTENT: "will gonna going ll shall must should want wanna werde werden wirst soll sollte vais allons faut veux voy vamos quiero debería",
 }
 
 
@@ -209,10 +210,12 @@ def _terms(text: str) -> set[str]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """A grammar from at most ``SAMPLE`` labelled documents."""
-    shared_dir(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # the bound of the broadcast
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic").checkpoint()
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    # a label teaches once, however many rows repeat its doc_id
+    one = chosen.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row"))
+    sample = Tables(docs.sparkSession).keep(one.select("row.text", "row.toxic"))
 
     def count(batches):
         pos, neg = {}, {}

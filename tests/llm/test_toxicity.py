@@ -55,3 +55,25 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "you idiot")], "doc_id long, text string")
     assert tox.score(docs, tox.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))).where(F.col("score") > 0.3).count() == 1
     assert tox.score(docs.limit(0), tox.Grammar.of([], [])).count() == 0
+
+
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE", 40)
+    rows = [(i, f"word{i} blorgh{i % 3}" if i % 2 else f"word{i} fine") for i in range(60)] + [(1, "other text")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    fit = tox.Grammar.fit
+    monkeypatch.setattr(tox.Grammar, "fit", lambda self, counts, toxic, **k: seen.append(len(counts)) or fit(self, counts, toxic, **k))
+    tox.learn(docs, labels)
+    assert seen == [40]
+
+
+def test_precision_and_recall_on_held_out_labels(spark):
+    """On the rows that the contract holds out, as the README gives them."""
+    sf = "/root/testdata/sf0.1"
+    got = tox.op6_pattern_grammar(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    tp, fp, fn = n[1, 1], n.get((0, 1), 0), n.get((1, 0), 0)
+    print("precision", tp / (tp + fp), "recall", tp / (tp + fn), n)
+    assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.9
