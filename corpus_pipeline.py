@@ -6,13 +6,11 @@ stages the documents are written as Parquet and read again.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexflow.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_dropout, toxicity
-from hexflow.llm.shared import shared_dir
+from hexflow.llm.shared import Tables
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what they keep is written under spark.checkpoint.dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{place}/{k}-{name}")
-            docs = spark.read.parquet(f"{place}/{k}-{name}")
-    return docs
+    """All stages over ``documents``; what a stage keeps is written under spark.checkpoint.dir and goes once the next one is."""
+    docs, tables, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark), None
+    for _, stage in STAGES[:-1]:
+        docs = tables.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            tables.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
