@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hexflow.functions import grid
 from hexflow.params import IMPASSABLE, WEIGHT_SCALE
+from hexflow.sources.shared import written
 
 
 def weight8(friction="friction"):
@@ -115,12 +116,13 @@ def gradient(cells: DataFrame, dests: DataFrame) -> DataFrame:
 
 def gradient_rounds(adj: DataFrame, dests: DataFrame) -> DataFrame:
     """The same by frontier rounds of joins: min(d + w), improved rows go on."""
-    dist = dests.select("dest", F.col("dest").alias("cell_id"), F.lit(0).alias("dist8")).checkpoint()
+    dist = dests.select("dest", F.col("dest").alias("cell_id"), F.lit(0).alias("dist8"))
+    dist = written(dist)
     front = dist
     while not front.isEmpty():
         step = front.join(adj, F.col("cell_id") == F.col("src")).groupBy("dest", F.col("dst").alias("cell_id")).agg(F.min(F.col("dist8") + F.col("w8")).alias("new8"))
-        better = step.join(dist, ["dest", "cell_id"], "left").where("dist8 is null or new8 < dist8").select("dest", "cell_id", F.col("new8").alias("dist8")).checkpoint()
-        dist = dist.join(better.select("dest", "cell_id"), ["dest", "cell_id"], "left_anti").union(better).checkpoint()
+        better = written(step.join(dist, ["dest", "cell_id"], "left").where("dist8 is null or new8 < dist8").select("dest", "cell_id", F.col("new8").alias("dist8")))
+        dist = written(dist.join(better.select("dest", "cell_id"), ["dest", "cell_id"], "left_anti").union(better))
         front = better
     return dist
 
