@@ -80,7 +80,7 @@ def subset_sizes(n: int) -> list[int]:
 
 
 def boundary(classes: DataFrame) -> int:
-    """The largest light size, by the cost of both ways over all classes: subsets made, and entries of the lists scanned for each set."""
+    """The largest light size, by the cost of both ways over all classes: subsets made, and entries of the lists scanned for each set; the largest of equal cost."""
     entries = sets.postings(classes.where(F.col("n") <= 2 * LARGEST_LIGHT), ())
     own = entries.groupBy("key", F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("n")).agg(F.count("*").alias("own"))
     lists = own.groupBy("key").agg(F.sum("own").alias("size"), F.collect_list(F.struct("n", "own")).alias("each"))
@@ -89,7 +89,7 @@ def boundary(classes: DataFrame) -> int:
     subsets = {r.n: r.each for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy(F.col("n"), known.cast("int").alias("known")).count().groupBy("n").agg(F.collect_list(F.struct("known", "count")).alias("each")).collect()}
     light = {n: sum(r["count"] * sum(comb(r.known, c) for c in subset_sizes(n) if c <= r.known) for r in each) for n, each in subsets.items()}
     costs = {b: sum(light.get(n, 0) for n in range(1, b + 1)) + sum(scanned.get(n, 0) for n in range(b + 1, LARGEST_LIGHT + 2)) for b in range(LARGEST_LIGHT + 1)}
-    return min(costs, key=lambda b: (costs[b], b))
+    return min(costs, key=lambda b: (costs[b], -b))
 
 
 def light_entries(classes: DataFrame, largest: int) -> DataFrame:

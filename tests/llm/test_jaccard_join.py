@@ -3,8 +3,11 @@ import re
 
 import pytest
 
-from hexflow.llm import jaccard_join
+from pyspark.sql import functions as F
+
+from hexflow.llm import jaccard_join, sets
 from hexflow.llm.jaccard_join import drop_near_duplicates, near_duplicates
+from hexflow.llm.shared import Tables, spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +68,50 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_copies(seed, n=70):
+    """A text, copies of it with one to eight words changed, and chains in which each text is a change of the last."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    texts = [list(base)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(1, 8)):
+            w[r.randrange(len(w))] = f"own{r.randrange(10**6)}"
+        texts.append(w)
+    for c in range(3):
+        w = [f"c{c}x{i}" for i in range(60)]
+        for _ in range(12):
+            w = list(w)
+            w[r.randrange(len(w))] = f"own{r.randrange(10**6)}"
+            texts.append(w)
+    r.shuffle(texts)
+    return [(i, " ".join(w)) for i, w in enumerate(texts + texts[:20])]
+
+
+@pytest.mark.parametrize("enough", [4, 0])
+def test_group_of_near_copies(spark, monkeypatch, enough):
+    monkeypatch.setattr(jaccard_join, "ENOUGH", enough)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 20)
+    rows = near_copies(7)
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows)
+
+
+def test_both_halves_run_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id as id", "0L as th", "text")
+    classes = Tables(spark).keep(sets.classes(sets.survivors(docs, jaccard_join.text_sets, copies=False)))
+    largest = jaccard_join.boundary(classes)
+    assert largest > 0 and jaccard_join.light_entries(classes, largest).count() > 0
+    assert sets.postings(classes, (), least=largest + 1).count() > 0
+
+
+def test_hot_keys_are_dealt_and_joined_alike(spark):
+    big = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) as key")
+    small = big.groupBy("key").count().withColumnRenamed("count", "size").where("key <> 7")
+    for how in ("inner", "left"):
+        got = sorted((r.id, r.key, r["size"]) for r in spread_join(big, small, "key", "size", 3000, how).collect())
+        assert got == sorted((r.id, r.key, r["size"]) for r in big.join(small, "key", how).collect())
+    places = spread_join(big, small, "key", "size", 3000).where("key = 0").groupBy(F.spark_partition_id()).count()
+    assert places.count() >= 1

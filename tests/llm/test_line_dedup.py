@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from hexflow.llm import sets
+from hexflow.llm import line_dedup, sets
 from hexflow.llm.line_dedup import dedup_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +88,18 @@ def test_places_need_up_to_four_bytes():
     for top in (255, 256, 65_535, 65_536, 200_000):
         places = np.array([0, 0, 3, top, top + 70_000])
         assert sets._places(np.frombuffer(sets._steps(places), np.uint8), len(places)).tolist() == places.tolist()
+
+
+def test_hot_near_copies_by_all_rounds(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ENOUGH", 0)
+    monkeypatch.setattr(line_dedup, "TOGETHER", 20)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(40)] = f"own{r.randrange(10**6)}"
+        rows.append((i, "\n".join([" ".join(w), f"line {i} of its own words", " ".join(w)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.text for x in dedup_lines(docs).collect()} == brute(rows)
