@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.functions.grid import angle_diff
@@ -11,52 +11,63 @@ from hexflow.params import FOOTPRINT_GAIN, W_THETA, SimulationParams
 
 
 def candidates(agents: DataFrame, visible: DataFrame, state: DataFrame, gradients: DataFrame) -> DataFrame:
-    """``agent, curr, dest, heading`` with each visible ``dst``, its friction, affordance, footprints and distances.
+    """``agent, curr, dest, heading, g_curr`` and ``view``: the visible cells with friction, affordance, footprints and distance ``g``, by dst_ord.
 
-    ``state`` has cell_id, friction, affordance, footprints.
+    ``state`` has cell_id, friction, affordance, footprints.  A view is put together once for a cell and destination,
+    whatever agents stand there, and an agent stays one row.
     """
     here = gradients.select("dest", F.col("cell_id").alias("curr"), (F.col("dist8") / 8.0).alias("g_curr"))
     there = gradients.select("dest", F.col("cell_id").alias("dst"), (F.col("dist8") / 8.0).alias("g"))
-    v = visible.select(F.col("src").alias("curr"), "dst", "dst_ord", "bearing")
-    s = state.select(F.col("cell_id").alias("dst"), "friction", "affordance", "footprints")
-    return agents.join(v, "curr").join(s, "dst").join(here, ["dest", "curr"]).join(there, ["dest", "dst"])
+    seen = visible.select(F.col("src").alias("curr"), "dst", "dst_ord", "bearing").join(state.select(F.col("cell_id").alias("dst"), "friction", "affordance", "footprints"), "dst")
+    cell = F.struct("dst_ord", "dst", F.col("bearing").cast("double").alias("bearing"), "friction", "affordance", F.col("footprints").cast("double").alias("footprints"), "g")
+    views = seen.join(there, "dst").groupBy("dest", "curr").agg(F.sort_array(F.collect_list(cell)).alias("view"))
+    return agents.join(views.join(here, ["dest", "curr"]), ["dest", "curr"]).select("agent", "curr", "dest", "heading", "g_curr", "view")
 
 
 def scored(cands: DataFrame, params: SimulationParams) -> DataFrame:
-    """The candidates within the cone (all, if it is empty) with their ``score``."""
-    angle = angle_diff(F.col("bearing").cast("double"), F.col("heading").cast("double"))
-    inside = F.col("angle") <= params.field_of_view / 2
-    out = cands.withColumn("angle", angle)
-    out = out.withColumn("_any", F.max(inside.cast("int")).over(Window.partitionBy("agent"))).where((F.col("_any") == 0) | inside).drop("_any")
-    affordance = F.col("affordance") + FOOTPRINT_GAIN * F.log1p(F.col("footprints").cast("double"))
-    cost = F.col("friction") + F.col("g") - F.col("g_curr")
-    return out.withColumn("score", params.affordance_weight * affordance - params.distance_penalty * cost - W_THETA * F.col("angle") / 180.0)
+    """The agents with the candidates within the cone (all, if it is empty) as ``among``: dst_ord, dst, friction, g, score."""
+    angle = lambda c: angle_diff(c["bearing"], F.col("heading").cast("double"))
+    inside = F.filter("view", lambda c: angle(c) <= params.field_of_view / 2)
+
+    def score(c):
+        affordance = c["affordance"] + FOOTPRINT_GAIN * F.log1p(c["footprints"])
+        cost = c["friction"] + c["g"] - F.col("g_curr")
+        return params.affordance_weight * affordance - params.distance_penalty * cost - W_THETA * angle(c) / 180.0
+
+    known = lambda c: F.struct(*(c[x].alias(x) for x in ("dst_ord", "dst", "friction", "g")), score(c).alias("score"))
+    out = cands.withColumn("_in", inside).withColumn("_in", F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("view")))
+    return out.select("agent", "curr", F.transform("_in", known).alias("among"))
 
 
 def best_step(cands: DataFrame, params: SimulationParams) -> DataFrame:
     """``agent, next, score``: the greatest score, ties to the smaller cell."""
-    out = scored(cands, params).withColumn("score", F.round("score", 9))
-    return out.groupBy("agent").agg(F.max_by("dst", F.struct("score", (-F.col("dst")).alias("k"))).alias("next"), F.round(F.max("score"), 6).alias("score"))
+    best = F.array_max(F.transform("among", lambda c: F.struct(F.round(c["score"], 9).alias("score"), (-c["dst"]).alias("dst"))))
+    return scored(cands, params).select("agent", best.alias("_b")).select("agent", (-F.col("_b.dst")).alias("next"), F.round("_b.score", 6).alias("score"))
 
 
 def rule_step(cands: DataFrame, params: SimulationParams, rule: str) -> DataFrame:
     """``agent, next`` by one of the simpler choice rules: basic (nearest the goal), path (least cost of the jump), weighted."""
     if rule == "weighted":
         return best_step(cands, params).select("agent", "next")
-    order = {"basic": F.struct("g", "dst"), "path": F.struct((F.col("friction") + F.col("g")).alias("c"), "dst")}[rule]
-    return scored(cands, params).groupBy("agent").agg(F.min_by("dst", order).alias("next"))
+    order = {"basic": lambda c: c["g"], "path": lambda c: c["friction"] + c["g"]}[rule]
+    least = F.array_min(F.transform("among", lambda c: F.struct(order(c).alias("c"), c["dst"].alias("dst"))))
+    return scored(cands, params).select("agent", least["dst"].alias("next"))
 
 
 def softmax_step(cands: DataFrame, params: SimulationParams) -> DataFrame:
     """``agent, next, uniform``: one seeded draw over exp(score / temperature) in the order of dst_ord."""
-    w = Window.partitionBy("agent")
-    out = scored(cands, params).withColumn("p", F.exp((F.col("score") - F.max("score").over(w)) / params.temperature))
-    out = out.withColumn("cum", F.sum("p").over(w.orderBy("dst_ord").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("p").over(w))
     uniform = first_uniform(fnv1a(F.concat_ws(":", "agent", F.col("curr").cast("string"))))
-    out = out.withColumn("uniform", uniform)
-    hit = F.min(F.when(F.col("uniform") * F.col("all") <= F.col("cum"), F.struct("dst_ord", "dst")))
-    last = F.max(F.struct("dst_ord", "dst"))
-    return out.groupBy("agent").agg(F.coalesce(hit, last)["dst"].alias("next"), F.max("uniform").alias("uniform"))
+    out = scored(cands, params).withColumn("uniform", uniform).withColumn("_top", F.array_max(F.transform("among", lambda c: c["score"])))
+    out = out.withColumn("_p", F.transform("among", lambda c: F.struct(c["dst"].alias("dst"), F.exp((c["score"] - F.col("_top")) / params.temperature).alias("p"))))
+    out = out.withColumn("_all", F.aggregate("_p", F.lit(0.0), lambda s, c: s + c["p"]))
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("long").alias("hit"))
+
+    def add(s, c):
+        cum = s["cum"] + c["p"]
+        return F.struct(cum.alias("cum"), F.coalesce(s["hit"], F.when(F.col("uniform") * F.col("_all") <= cum, c["dst"])).alias("hit"))
+
+    hit = F.aggregate("_p", start, add)["hit"]
+    return out.select("agent", F.coalesce(hit, F.element_at("_p", -1)["dst"]).alias("next"), "uniform")
 
 
 def fallback_step(agents: DataFrame, cells: DataFrame, gradients: DataFrame, rings: int = 3) -> DataFrame:
