@@ -63,14 +63,24 @@ def cube_round(q: Column, r: Column) -> tuple[Column, Column]:
     return (F.when(q_worst, -fr - fs).otherwise(fq).cast("int"), F.when(~q_worst & r_worst, -fq - fs).otherwise(fr).cast("int"))
 
 
-def path_cell(i: Column, q0, r0, q1, r1) -> tuple[Column, Column]:
-    """The cell of the straight line i steps from its smaller end; so a line has the same cells both ways."""
+def line_ends(q0, r0, q1, r1) -> dict[str, Column]:
+    """A line from its smaller end, so that it has the same cells both ways: that end, the way to the other, its length."""
     q0, r0, q1, r1 = map(_c, (q0, r0, q1, r1))
     forward = (q0 < q1) | ((q0 == q1) & (r0 <= r1))
     pick = lambda a, b: F.when(forward, a).otherwise(b)
     aq, ar, bq, br = pick(q0, q1), pick(r0, r1), pick(q1, q0), pick(r1, r0)
-    t = i.cast("double") / F.greatest(F.lit(1), grid_distance(q0, r0, q1, r1)).cast("double")
-    return cube_round(aq + (bq - aq) * t + NUDGE_Q, ar + (br - ar) * t + NUDGE_R)
+    return {"_q": aq, "_r": ar, "_dq": bq - aq, "_dr": br - ar, "_n": grid_distance(q0, r0, q1, r1)}
+
+
+def along(i: Column, q: Column, r: Column, dq: Column, dr: Column, n: Column) -> tuple[Column, Column]:
+    """The point i of n steps along a line, nudged off the cells' edges."""
+    t = i.cast("double") / F.greatest(F.lit(1), n).cast("double")
+    return q + dq * t + NUDGE_Q, r + dr * t + NUDGE_R
+
+
+def path_cell(i: Column, q0, r0, q1, r1) -> tuple[Column, Column]:
+    """The cell of the straight line i steps from its smaller end."""
+    return cube_round(*along(i, *line_ends(q0, r0, q1, r1).values()))
 
 
 def grid_path(q0, r0, q1, r1) -> Column:
