@@ -265,12 +265,14 @@ def other(draw: int) -> str:
 
 def _evident(kind: int, text: str) -> bool:
     digits = sum(c in "0123456789" for c in text)
+    if not text:
+        return False
     if kind == 0:
         local, _, domain = text.partition("@")
         return "." in domain.strip() and not any(c.isspace() for c in local.strip() + domain.strip()) and bool(local.strip())
     if kind == 1:
         return 4 <= digits <= 12 and text.count(".") == 3
-    return 12 <= digits <= 19 if kind == 2 else 8 <= digits <= 15
+    return 12 <= digits <= 19 if kind == 2 else 8 + (text[0] != "+") <= digits <= 15  # a date has eight
 
 
 def all_spans(base: list[list[tuple[int, int]]], runs, text: str) -> list[list[tuple[int, int]]]:
