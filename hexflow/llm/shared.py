@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,12 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; without one, a local session gets a folder of its own and a cluster is told."""
+    """The session's checkpoint folder; without one, a session of one process gets a temporary one and a cluster is told."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
 
