@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operations that run as Spark jobs.
+"""Training-data operators: the corpus operations that run as Spark jobs.
 
 Nothing else in the library imports this subpackage.
 """
