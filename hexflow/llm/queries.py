@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexflow.llm import ann, context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, sharding, toxicity, urls
+from hexflow.llm import ann, context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, sharding, toxicity, urls, whitening
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_merge_dropout": sentencepiece_dropout.op8_merge_dropout,
     "op9_prefix_filter": line_dedup.op9_prefix_filter,
     "op10_context_tree": context_tree.op10_context_tree,
+    "op11_row_matrix": whitening.op11_row_matrix,
     "op12_histogram_sort": sharding.op12_histogram_sort,
 }
 
