@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexflow.llm import ann, context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, sharding, toxicity, urls, whitening
+from hexflow.llm import ann, context_tree, decontaminate, html_extract, jaccard_join, line_dedup, pii, sentencepiece_dropout, sharding, spelling, toxicity, urls, whitening
 
 QUERIES = {
     "op1_wu_manber": decontaminate.op1_wu_manber,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_context_tree": context_tree.op10_context_tree,
     "op11_row_matrix": whitening.op11_row_matrix,
     "op12_histogram_sort": sharding.op12_histogram_sort,
+    "op13_two_automata": spelling.op13_two_automata,
 }
 
 ORACLE_SQL = {
