@@ -1,4 +1,4 @@
-"""Adjacency, visibility and shortest-path fields."""
+"""Adjacency, and what follows from shortest-path fields."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.functions import grid
-from hexflow.params import IMPASSABLE, WEIGHT_SCALE
-from hexflow.sources.shared import written
+from hexflow.operators.fields import gradient, weight8
+from hexflow.operators.view import visibility, visibility_lists
+from hexflow.params import IMPASSABLE
+from hexflow.sources.shared import Steps
 
-
-def weight8(friction="friction"):
-    return F.floor(WEIGHT_SCALE * F.col(friction) + 0.5).cast("int")
+__all__ = ["adjacency", "degree_histogram", "gradient", "gradient_rounds", "initial_heading", "passable_adjacency", "reach", "unreachable", "visibility", "visibility_lists"]
 
 
 def adjacency(cells: DataFrame) -> DataFrame:
@@ -35,31 +35,7 @@ def degree_histogram(adj: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(degree, "cell_id", "left").groupBy(F.coalesce("degree", F.lit(0)).alias("degree")).agg(F.count("*").alias("n"))
 
 
-def visibility(cells: DataFrame, depth: int) -> DataFrame:
-    """``src, dst, hops, bearing``: passable cells reachable within ``depth`` steps over passable cells.
-
-    Each round joins the newest pairs with the adjacency; a pair keeps its first depth.
-    """
-    open_ = cells.where(F.col("friction") < IMPASSABLE)
-    adj = adjacency(open_)
-    front = adj.select("src", "dst", F.lit(1).alias("hops"))
-    seen = front
-    for d in range(2, depth + 1):
-        step = front.select("src", F.col("dst").alias("mid")).join(adj.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst").distinct()
-        front = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(d))
-        seen = seen.union(front)
-    a, b = (open_.select(F.col("cell_id").alias(x), F.col("q").alias(f"q{x}"), F.col("r").alias(f"r{x}"), F.col("ord").alias(f"{x}_ord")) for x in ("src", "dst"))
-    both = seen.join(a, "src").join(b, "dst")
-    deg = grid.round_half_up(grid.bearing(F.col("qdst") - F.col("qsrc"), F.col("rdst") - F.col("rsrc")))
-    return both.select("src", "dst", "dst_ord", "hops", deg.cast("int").alias("bearing"))
-
-
-def visibility_lists(visible: DataFrame) -> DataFrame:
-    """``src`` with its visible cells as an array in the order of dst_ord."""
-    return visible.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst_ord", "dst", "bearing"))).alias("visible"))
-
-
-#: Edges that the shortest-path kernel may be handed by broadcast.
+#: Edges of the largest area that one simulation is handed by broadcast.
 BROADCAST_EDGES = 6_000_000
 
 
@@ -93,37 +69,17 @@ class Csr:
         return dist
 
 
-def gradient(cells: DataFrame, dests: DataFrame) -> DataFrame:
-    """``dest, cell_id, dist8`` of the cells that reach each passable destination (column ``dest``).
-
-    One kernel run a destination with the edges by broadcast, while these are few enough; beyond, rounds of joins.
-    """
-    adj = passable_adjacency(cells)
-    inside = dests.select("dest").distinct().join(cells.where(F.col("friction") < IMPASSABLE).select(F.col("cell_id").alias("dest")), "dest", "left_semi")
-    if 6 * cells.count() > BROADCAST_EDGES:
-        return gradient_rounds(adj, inside)
-    csr = cells.sparkSession.sparkContext.broadcast(Csr(adj.toPandas()))
-
-    def field(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = int(pdf.dest.iloc[0])
-        dist = csr.value.distances(target)
-        reached = np.flatnonzero(dist >= 0)
-        out = pd.DataFrame({"dest": target, "cell_id": csr.value.ids[reached], "dist8": dist[reached]})
-        return out if len(out) else pd.DataFrame({"dest": [target], "cell_id": [target], "dist8": [0]})
-
-    return inside.groupBy("dest").applyInPandas(field, "dest long, cell_id long, dist8 int")
-
-
 def gradient_rounds(adj: DataFrame, dests: DataFrame) -> DataFrame:
-    """The same by frontier rounds of joins: min(d + w), improved rows go on."""
-    dist = dests.select("dest", F.col("dest").alias("cell_id"), F.lit(0).alias("dist8"))
-    dist = written(dist)
+    """``gradient`` from any edges (src, dst, w8), a join a round: min(d + w), improved rows go on.  Rounds follow the number of cells of a path."""
+    steps = Steps(adj.sparkSession)
+    dist = steps.keep(dests.select("dest", F.col("dest").alias("cell_id"), F.lit(0).alias("dist8")))
     front = dist
     while not front.isEmpty():
         step = front.join(adj, F.col("cell_id") == F.col("src")).groupBy("dest", F.col("dst").alias("cell_id")).agg(F.min(F.col("dist8") + F.col("w8")).alias("new8"))
-        better = written(step.join(dist, ["dest", "cell_id"], "left").where("dist8 is null or new8 < dist8").select("dest", "cell_id", F.col("new8").alias("dist8")))
-        dist = written(dist.join(better.select("dest", "cell_id"), ["dest", "cell_id"], "left_anti").union(better))
-        front = better
+        better = steps.keep(step.join(dist, ["dest", "cell_id"], "left").where("dist8 is null or new8 < dist8").select("dest", "cell_id", F.col("new8").alias("dist8")))
+        new = steps.keep(dist.join(better.select("dest", "cell_id"), ["dest", "cell_id"], "left_anti").union(better))
+        steps.drop(*{id(t): t for t in (dist, front)}.values())
+        dist, front = new, better
     return dist
 
 

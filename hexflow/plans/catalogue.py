@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from hexflow.functions import classify as C
 from hexflow.functions import colour, geometry, grid
-from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, walk, wear
+from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, view, walk, wear
 from hexflow.params import SimulationParams
 from hexflow.sources import tables as S
+from hexflow.sources.shared import written
 
 #: Rounding of doubles that two engines add up in their own order.
 DIGITS = 6
@@ -162,6 +163,31 @@ def visibility_k2(spark, d):
     return graph.visibility(S.cells(spark, d), 2).select("src", "dst", "hops", "bearing")
 
 
+def visibility_k15(spark, d):
+    """What each cell sees at the default depth."""
+    return graph.visibility(S.cells(spark, d), SimulationParams().vision_depth).select("src", "dst", "hops", "bearing")
+
+
+def _ends(hops):
+    return hops.select("step", F.col("prev").alias("src"), F.col("cell_id").alias("dst"), "q0", "r0", "q1", "r1")
+
+
+def line_of_sight(spark, d):
+    """All hops: from cells of the area by its views, from others by the straight line."""
+    c = S.cells(spark, d)
+    area = c.join(raster.aoi_cells(spark, AOI).select("q", "r"), ["q", "r"], "left_semi")
+    seen = view.in_view(_ends(_hops(spark, d)), graph.visibility(area, SimulationParams().vision_depth), area, c)
+    return seen.select("step", "src", "dst", "visible")
+
+
+def step_lines(spark, d):
+    """All hops' ways: straight, around what bars the line, or none within the default depth."""
+    c = S.cells(spark, d)
+    visible = written(view.flood(c, SimulationParams().vision_depth))
+    out = view.step_lines(_ends(_hops(spark, d)), visible, c)
+    return out.select("step", "how", F.size("way").cast("long").alias("n_cells"), F.array_join(F.transform("way", lambda p: F.concat_ws(":", p["q"], p["r"])), " ").alias("way"))
+
+
 def bearing_pairs(spark, d):
     b = grid.bearing(F.col("q1") - F.col("q0"), F.col("r1") - F.col("r0"))
     return _round(_hops(spark, d).where("prev <> cell_id").select("step", b.alias("bearing")), "bearing")
@@ -359,7 +385,7 @@ QUERIES = {
     for f in (
         tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, bbox_filter, adjacency,
         grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, gradient_field, gradient_reach,
-        unreachable_dests, initial_heading, visibility_k2, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
+        unreachable_dests, initial_heading, visibility_k2, visibility_k15, line_of_sight, step_lines, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
         best_step_t0, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,
         colour_ramp, friction_colours, peak_flow, geojson_rows, tooltips, hex_boundary, node_readiness, node_counts, placement_check, pick_polygon, aoi_circle,
         mdd, sum_of_paths, accuracy_k, latency_percentiles, trace_windows,

@@ -8,6 +8,15 @@ from hexflow.functions import classify as C
 from hexflow.functions.grid import disk_offsets
 from hexflow.plans.catalogue import AOI
 
+def _crossings(ring) -> str:
+    """How often a level ray from (x, y) crosses the ring, half-open."""
+    parts = []
+    for (ax, ay), (bx, by) in zip(ring, [ring[-1], *ring[:-1]], strict=True):
+        if ay != by:
+            parts.append(f"CASE WHEN ({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay})::DOUBLE + {ax} THEN 1 ELSE 0 END")
+    return f"(({' + '.join(parts)}) % 2 = 1)"
+
+
 _CTE = {
     "cells": """SELECT p_partkey AS cell_id, CAST(p_partkey % 50 AS INT) AS q, CAST(FLOOR(p_partkey / 50.0) AS INT) AS r, CAST(p_partkey AS INT) AS ord,
         CAST(CASE WHEN p_size % 10 < 5 THEN 1.0 WHEN p_size % 10 < 7 THEN 2.5 WHEN p_size % 10 < 9 THEN 4.0 ELSE 999999.0 END AS DOUBLE) AS friction FROM part""",
@@ -56,6 +65,17 @@ _CTE = {
     "vis": """SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM adj UNION ALL SELECT a.src, b.dst, 2 FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY src, dst""",
     "visb": """SELECT src, dst, hops, b.ord AS dst_ord, CAST(floor((degrees(atan2((b.q - a.q) + (b.r - a.r) / 2.0, 0.8660254037844386::DOUBLE * (b.r - a.r))) + 360.0) % 360.0 + 0.5) AS INT) AS bearing
         FROM vis JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst""",
+    "flood": """SELECT cell_id AS src, cell_id AS dst, 0 AS hops FROM cells WHERE friction < 999999
+        UNION SELECT v.src, a.dst, min(v.hops) + 1 FROM flood v JOIN adj a ON a.src = v.dst LEFT JOIN recurring.flood k ON k.src = v.src AND k.dst = a.dst WHERE k.hops IS NULL AND v.hops < 15 GROUP BY v.src, a.dst""",
+    "inside": f"SELECT cell_id, q, r, friction FROM (SELECT *, q + r / 2.0::DOUBLE AS x, r * sqrt(3.0::DOUBLE) / 2 AS y FROM cells) WHERE {_crossings(AOI[0])} AND NOT {_crossings(AOI[1])}",
+    "flood_in": """SELECT cell_id AS src, cell_id AS dst, 0 AS hops FROM inside WHERE friction < 999999
+        UNION SELECT v.src, a.dst, min(v.hops) + 1 FROM flood_in v JOIN (SELECT * FROM adj WHERE src IN (SELECT cell_id FROM inside) AND dst IN (SELECT cell_id FROM inside)) a ON a.src = v.dst
+        LEFT JOIN recurring.flood_in k ON k.src = v.src AND k.dst = a.dst WHERE k.hops IS NULL AND v.hops < 15 GROUP BY v.src, a.dst""",
+    "clear": "SELECT step, bool_and(coalesce(c.friction < 999999, false)) AS clear FROM path p LEFT JOIN cells c ON c.q = p.q AND c.r = p.r GROUP BY step",
+    "steps": "SELECT h.*, k.clear, f.hops AS n FROM hops h JOIN clear k USING (step) LEFT JOIN flood f ON f.src = h.prev AND f.dst = h.cell_id",
+    "detour": """SELECT step, 0 AS i, prev AS here, cell_id AS goal, n FROM steps WHERE NOT clear AND n > 0
+        UNION ALL SELECT d.step, d.i + 1, arg_min(a.dst, c.ord), any_value(d.goal), any_value(d.n) FROM detour d JOIN adj a ON a.src = d.here JOIN flood f ON f.src = a.dst AND f.dst = d.goal AND f.hops = d.n - d.i - 1 JOIN cells c ON c.cell_id = a.dst
+        WHERE d.i < d.n GROUP BY d.step, d.i""",
     "halo": """SELECT c.cell_id, least(999998.0, c.friction + w * 3.0) AS friction, w FROM (SELECT cell_id, sum(CASE d WHEN 1 THEN exp(-0.5::DOUBLE * (1 / 1.5::DOUBLE) ** 2) ELSE exp(-0.5::DOUBLE * (2 / 1.5::DOUBLE) ** 2) END) AS w
         FROM (SELECT s, cell_id, min(d) AS d FROM (SELECT src AS s, dst AS cell_id, 1 AS d FROM edges WHERE f0 >= 999999 UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.f0 >= 999999 AND a.src <> b.dst) GROUP BY s, cell_id) GROUP BY cell_id) h
         JOIN cells c ON c.cell_id = h.cell_id WHERE c.friction < 999999""",
@@ -84,6 +104,8 @@ _CTE = {
     "ratio": "SELECT cell_id, score, least(1.0, ln(1 + score) / (SELECT ln(1 + max(score)) FROM desire)) AS ratio FROM desire",
     "export": "SELECT c.cell_id, d.score, c.affordance, c.friction FROM desire d JOIN state c USING (cell_id) WHERE d.score <> 0",
 }
+_KEYED = {"g": "(dest, cell_id, dist8) USING KEY (dest, cell_id)", "flood": "(src, dst, hops) USING KEY (src, dst)", "flood_in": "(src, dst, hops) USING KEY (src, dst)"}
+_RECURSIVE = {*_KEYED, "detour"}
 _NEEDS = {k: [n for n in _CTE if n != k and re.search(rf"\b(?:FROM|JOIN|,)\s+{n}\b", v)] for k, v in _CTE.items()}
 
 
@@ -100,8 +122,8 @@ def _with(*names: str, body: str) -> str:
 
     for n in names:
         add(n)
-    parts = [f"{n}(dest, cell_id, dist8) USING KEY (dest, cell_id) AS ({_CTE[n]})" if n == "g" else f"{n} AS ({_CTE[n]})" for n in need]
-    return f"WITH {'RECURSIVE ' if 'g' in need else ''}{', '.join(parts)} {body}"
+    parts = [f"{n}{_KEYED.get(n, '')} AS ({_CTE[n]})" for n in need]
+    return f"WITH {'RECURSIVE ' if any(n in _RECURSIVE for n in need) else ''}{', '.join(parts)} {body}"
 
 
 def _in(values) -> str:
@@ -131,15 +153,6 @@ _TIER = "CASE WHEN friction >= 999999 THEN 'impassable' WHEN friction < 1.75 THE
 _AFF = "CASE WHEN {0} >= 999999 THEN 0.0 WHEN {0} < 1.75 THEN 1.0 WHEN {0} < 3.25 THEN 0.6 ELSE 0.3 END::DOUBLE"
 
 
-def _crossings(ring) -> str:
-    """How often a level ray from (x, y) crosses the ring, half-open."""
-    parts = []
-    for (ax, ay), (bx, by) in zip(ring, [ring[-1], *ring[:-1]], strict=True):
-        if ay != by:
-            parts.append(f"CASE WHEN ({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay})::DOUBLE + {ax} THEN 1 ELSE 0 END")
-    return f"(({' + '.join(parts)}) % 2 = 1)"
-
-
 _STOP = "CAST(trunc(list_extract([{0}], i + 1) + (list_extract([{0}], least(i + 2, 5)) - list_extract([{0}], i + 1)) * (pos - i)) AS INT)"
 _IN_BOX = "x0 <= x AND x < x1 AND y0 <= y AND y < y1"
 
@@ -171,6 +184,16 @@ ORACLE_SQL = {
     "initial_heading": _with("g", "edges", body="""SELECT dest, cell_id, CAST(floor((degrees(atan2((q1 - q0) + (r1 - r0) / 2.0, 0.8660254037844386::DOUBLE * (r1 - r0))) + 360.0) % 360.0 + 0.5) AS INT) AS heading FROM
         (SELECT g.dest, g.cell_id, e.*, row_number() OVER (PARTITION BY g.dest, g.cell_id ORDER BY n.dist8, e.dst_ord) AS k FROM g JOIN edges e ON e.src = g.cell_id AND f0 < 999999 AND f1 < 999999 JOIN g n ON n.dest = g.dest AND n.cell_id = e.dst WHERE n.dist8 < g.dist8) WHERE k = 1"""),
     "visibility_k2": _with("visb", body="SELECT src, dst, hops, bearing FROM visb"),
+    "visibility_k15": _with("flood", "cells", body="""SELECT src, dst, hops, CAST(floor((degrees(atan2((b.q - a.q) + (b.r - a.r) / 2.0, 0.8660254037844386::DOUBLE * (b.r - a.r))) + 360.0) % 360.0 + 0.5) AS INT) AS bearing
+        FROM flood JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst WHERE hops > 0"""),
+    "line_of_sight": _with("hops", "clear", "inside", "flood_in", body="""SELECT step, prev AS src, h.cell_id AS dst, CASE WHEN i.cell_id IS NULL THEN clear ELSE f.hops IS NOT NULL END AS visible FROM hops h JOIN clear USING (step)
+        LEFT JOIN inside i ON i.cell_id = h.prev LEFT JOIN flood_in f ON f.src = h.prev AND f.dst = h.cell_id AND f.hops > 0"""),
+    "step_lines": _with("steps", "detour", "lerp", "cube", body="""SELECT step, CASE WHEN clear THEN 'straight' WHEN n > 0 THEN 'detour' ELSE 'stay' END AS how, CASE WHEN clear THEN s.n_cells WHEN n > 0 THEN d.n_cells ELSE 1 END AS n_cells,
+        CASE WHEN clear THEN s.way WHEN n > 0 THEN d.way ELSE q0 || ':' || r0 END AS way FROM steps
+        LEFT JOIN (SELECT step, count(*) AS n_cells, CASE WHEN any_value(aq = q0 AND ar = r0) THEN string_agg(w, ' ' ORDER BY i) ELSE string_agg(w, ' ' ORDER BY i DESC) END AS way FROM
+            (SELECT step, q0, r0, aq, ar, i, CAST(CASE WHEN abs(iq - fq) > abs(ir - fr) AND abs(iq - fq) > abs(is_ - fs) THEN -ir - is_ ELSE iq END AS INT) || ':' || CAST(CASE WHEN NOT (abs(iq - fq) > abs(ir - fr) AND abs(iq - fq) > abs(is_ - fs)) AND abs(ir - fr) > abs(is_ - fs) THEN -iq - is_ ELSE ir END AS INT) AS w
+             FROM (SELECT *, -fq - fr AS fs, floor(fq + 0.5) AS iq, floor(fr + 0.5) AS ir, floor(-fq - fr + 0.5) AS is_ FROM (SELECT *, aq + (bq - aq) * t + 0.000001::DOUBLE AS fq, ar + (br - ar) * t + 0.000002::DOUBLE AS fr FROM lerp))) GROUP BY step) s USING (step)
+        LEFT JOIN (SELECT step, count(*) AS n_cells, string_agg(q || ':' || r, ' ' ORDER BY i) AS way FROM detour JOIN cells c ON c.cell_id = here GROUP BY step) d USING (step)"""),
     "bearing_pairs": _with("bear", body="SELECT step, round(bearing, 6) AS bearing FROM bear WHERE prev <> cell_id"),
     "angle_diff": _with("bear", body="SELECT step, round(abs((bearing - step % 360 + 540.0) % 360.0 - 180.0), 6) AS diff FROM bear WHERE prev <> cell_id"),
     "od_matrix": _with("od", body="SELECT origin, dest, grid_dist FROM od"),
