@@ -85,8 +85,8 @@ def _clipped(ring: Column, axis: str, bound: float, above: bool) -> Column:
     return F.when(n > 0, F.flatten(F.transform(ring, part))).otherwise(ring)
 
 
-def clip_segment(a: Column, b: Column, box: tuple[float, float, float, float]) -> Column:
-    """The part of a segment within a box as a struct (a, b), or null."""
+def clip_range(a: Column, b: Column, box: tuple[float, float, float, float]) -> Column:
+    """The part of a segment within a box as a struct (low, high) of shares of the way, or null."""
     x0, y0, x1, y1 = box
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     low, high, missed = F.lit(0.0), F.lit(1.0), F.lit(False)
@@ -94,5 +94,10 @@ def clip_segment(a: Column, b: Column, box: tuple[float, float, float, float]) -
         t = q / F.when(p == 0, F.lit(1.0)).otherwise(p)
         missed = missed | ((p == 0) & (q < 0))
         low, high = F.greatest(low, F.when(p < 0, t)), F.least(high, F.when(p > 0, t))  # nulls don't count
-    at = lambda t: F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y"))
-    return F.when(~missed & (low <= high), F.struct(at(low).alias("a"), at(high).alias("b")))
+    return F.when(~missed & (low <= high), F.struct(low.alias("low"), high.alias("high")))
+
+
+def clip_segment(a: Column, b: Column, box: tuple[float, float, float, float]) -> Column:
+    """The part of a segment within a box as a struct (a, b), or null."""
+    at = lambda t: F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+    return let(clip_range(a, b, box), lambda t: F.when(t.isNotNull(), F.struct(at(t["low"]).alias("a"), at(t["high"]).alias("b"))))

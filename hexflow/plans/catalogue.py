@@ -74,6 +74,14 @@ def aoi_cells(spark, d):
     return S.cells(spark, d).join(area, ["q", "r"], "left_semi").select("cell_id", "q", "r")
 
 
+def fast_scan_area(spark, d):
+    """The layers of an area's cells from whole map features, and whether a way runs through a cell."""
+    c = S.cells(spark, d)
+    area = c.join(raster.aoi_cells(spark, AOI).select("q", "r"), ["q", "r"], "left_semi")
+    hits, corridor = raster.fast_scan(written(S.map_features(spark, d)), area)  # features are a stored table, not this projection's expressions
+    return friction.merge_layers(hits).join(corridor.withColumn("corridor", F.lit(True)), "cell_id", "left").select("cell_id", "layer", "friction", F.coalesce("corridor", F.lit(False)).alias("corridor"))
+
+
 def _hops(spark, d) -> DataFrame:
     """Consecutive traces of a user as segments."""
     w = Window.partitionBy("user_id").orderBy("ts", "step")
@@ -383,7 +391,7 @@ def trace_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, bbox_filter, adjacency,
+        tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, fast_scan_area, bbox_filter, adjacency,
         grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, gradient_field, gradient_reach,
         unreachable_dests, initial_heading, visibility_k2, visibility_k15, line_of_sight, step_lines, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
         best_step_t0, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,

@@ -76,6 +76,10 @@ _CTE = {
     "detour": """SELECT step, 0 AS i, prev AS here, cell_id AS goal, n FROM steps WHERE NOT clear AND n > 0
         UNION ALL SELECT d.step, d.i + 1, arg_min(a.dst, c.ord), any_value(d.goal), any_value(d.n) FROM detour d JOIN adj a ON a.src = d.here JOIN flood f ON f.src = a.dst AND f.dst = d.goal AND f.hops = d.n - d.i - 1 JOIN cells c ON c.cell_id = a.dst
         WHERE d.i < d.n GROUP BY d.step, d.i""",
+    "shapes": """SELECT f.*, k, x - w * by_ + k * 10 AS x0, x + w * by_ + k * 10 AS x1, y - h * by_ + k * 6 AS y0, y + h * by_ + k * 6 AS y1, by_ < 1 AS hole FROM (SELECT p_partkey AS feature_id, CAST(p_size % 7 + 1.3::DOUBLE AS DOUBLE) AS w, CAST(p_size % 5 + 1.1::DOUBLE AS DOUBLE) AS h,
+        p_partkey % 50 + floor(p_partkey / 50.0) / 2.0::DOUBLE AS x, floor(p_partkey / 50.0) * 0.8660254037844386::DOUBLE AS y FROM part) f, (VALUES (0), (1)) a(k), (VALUES (1.0::DOUBLE), (0.4::DOUBLE)) b(by_) WHERE (k = 0 OR feature_id % 4 = 0) AND (by_ = 1 OR feature_id % 3 = 0)""",
+    "ways": """SELECT a.feature_id AS step, 'way' AS kind, a.q AS q0, a.r AS r0, CAST(a.to_ % 50 AS INT) AS q1, CAST(floor(a.to_ / 50.0) AS INT) AS r1 FROM
+        (SELECT p_partkey AS feature_id, CAST(p_partkey % 50 AS INT) AS q, CAST(floor(p_partkey / 50.0) AS INT) AS r, (p_partkey * 37) % (SELECT count(*) FROM part) + 1 AS to_ FROM part) a""",
     "halo": """SELECT c.cell_id, least(999998.0, c.friction + w * 3.0) AS friction, w FROM (SELECT cell_id, sum(CASE d WHEN 1 THEN exp(-0.5::DOUBLE * (1 / 1.5::DOUBLE) ** 2) ELSE exp(-0.5::DOUBLE * (2 / 1.5::DOUBLE) ** 2) END) AS w
         FROM (SELECT s, cell_id, min(d) AS d FROM (SELECT src AS s, dst AS cell_id, 1 AS d FROM edges WHERE f0 >= 999999 UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.f0 >= 999999 AND a.src <> b.dst) GROUP BY s, cell_id) GROUP BY cell_id) h
         JOIN cells c ON c.cell_id = h.cell_id WHERE c.friction < 999999""",
@@ -106,6 +110,9 @@ _CTE = {
 }
 _KEYED = {"g": "(dest, cell_id, dist8) USING KEY (dest, cell_id)", "flood": "(src, dst, hops) USING KEY (src, dst)", "flood_in": "(src, dst, hops) USING KEY (src, dst)"}
 _RECURSIVE = {*_KEYED, "detour"}
+# the cells of the features' lines, by the same steps as those of the hops
+for _name, _from, _to in (("lerp", "hops", "ways"), ("frac", "lerp", "ways_lerp"), ("cube", "frac", "ways_frac"), ("path", "cube", "ways_cube")):
+    _CTE[f"ways_{_name}"] = _CTE[_name].replace(f"FROM {_from}", f"FROM {_to}")
 _NEEDS = {k: [n for n in _CTE if n != k and re.search(rf"\b(?:FROM|JOIN|,)\s+{n}\b", v)] for k, v in _CTE.items()}
 
 
@@ -165,6 +172,11 @@ ORACLE_SQL = {
     "aoi_cells": _with("cells", body=f"SELECT cell_id, q, r FROM (SELECT *, q + r / 2.0::DOUBLE AS x, r * sqrt(3.0::DOUBLE) / 2 AS y FROM cells) WHERE {_crossings(AOI[0])} AND NOT {_crossings(AOI[1])}"),
     "polygon_raster": _with("boxes", body="""SELECT edit_id, CAST(q AS INT) AS q, CAST(r AS INT) AS r FROM (SELECT *, unnest(range(CAST(floor(x0 - r / 2.0) AS INT) - 1, CAST(ceil(x1 - r / 2.0) AS INT) + 2)) AS q FROM
         (SELECT *, unnest(range(CAST(floor(y0 / 0.9) AS INT) - 2, CAST(ceil(y1 / 0.8) AS INT) + 2)) AS r FROM boxes)) WHERE q + r / 2.0::DOUBLE >= x0 AND q + r / 2.0::DOUBLE < x1 AND r * 0.8660254037844386::DOUBLE >= y0 AND r * 0.8660254037844386::DOUBLE < y1"""),
+    "fast_scan_area": _with("features", "inside", "shapes", "ways_path", body=f"""SELECT cell_id, vlayer AS layer, CASE WHEN max(f) >= 999999.0 THEN 999999.0 ELSE min(f) END AS friction, bool_or(bool_or(lined)) OVER (PARTITION BY cell_id) AS corridor FROM
+        (SELECT feature_id, vlayer, {_FRICTION.format('cost')} AS f, source_layer IN ('transportation', 'waterway') AS is_line FROM (SELECT *, {_COST} AS cost, {_LAYER} AS vlayer FROM features WHERE source_layer IN {_in(C.LAYERS)}) WHERE cost IS NOT NULL) k
+        JOIN (SELECT s.feature_id, i.cell_id, false AS lined FROM shapes s JOIN (SELECT *, q + r / 2.0::DOUBLE AS x, 0.8660254037844386::DOUBLE * r AS y FROM inside) i ON s.x0 <= i.x AND i.x < s.x1 AND s.y0 <= i.y AND i.y < s.y1 WHERE NOT s.hole AND NOT EXISTS
+              (SELECT 1 FROM shapes h WHERE h.hole AND h.feature_id = s.feature_id AND h.k = s.k AND h.x0 <= i.x AND i.x < h.x1 AND h.y0 <= i.y AND i.y < h.y1)
+              UNION ALL SELECT p.step, i.cell_id, true FROM ways_path p JOIN inside i ON i.q = p.q AND i.r = p.r) c ON c.feature_id = k.feature_id AND c.lined = k.is_line GROUP BY cell_id, vlayer"""),
     "line_raster": _with("path", body="SELECT q, r, count(*) AS n FROM path GROUP BY q, r"),
     "grid_distance": _with("hops", body="SELECT step, CAST((abs(q1 - q0) + abs(r1 - r0) + abs(q1 - q0 + r1 - r0)) / 2 AS INT) AS dist FROM hops"),
     "grid_disk": _with("cells", "disk2", body="SELECT a.cell_id, count(*) AS n FROM cells a, disk2 o JOIN cells b ON b.q = a.q + o.dq AND b.r = a.r + o.dr GROUP BY 1"),

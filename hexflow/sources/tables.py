@@ -80,6 +80,30 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features with a geometry each: roads and waterways are lines to a cell far off, the others rectangles.
+
+    Every third rectangle has a hole, and every fourth feature that is no line a second part, as a row of its own.
+    """
+    p, size, half = F.col("p_partkey"), F.col("p_size"), 0.8660254037844386
+    at = table(spark, sf_dir, "part").select(p.alias("feature_id"), (p % 50).alias("q"), F.floor(p / 50.0).alias("r"), size.alias("size"))
+    n = at.agg(F.count("*").alias("n"))
+    at = at.crossJoin(F.broadcast(n)).withColumn("to", (F.col("feature_id") * 37) % F.col("n") + 1)  # one row
+    centre = lambda q, r: (q + r / 2.0, r * half)
+    ends = zip(("x", "y", "x1", "y1"), (*centre(F.col("q"), F.col("r")), *centre(F.col("to") % 50, F.floor(F.col("to") / 50.0))), strict=True)
+    at = at.select("feature_id", *(c.alias(k) for k, c in ends), (F.col("size") % 7 + 1.3).alias("w"), (F.col("size") % 5 + 1.1).alias("h"))
+    x, y, x1, y1, w, h = (F.col(c) for c in ("x", "y", "x1", "y1", "w", "h"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box = lambda part, by: geometry.rectangle(x - w * by + part * 10, y - h * by + part * 6, x + w * by + part * 10, y + h * by + part * 6)
+    filled = lambda part: F.when(F.col("feature_id") % 3 == 0, F.concat(box(part, 1.0), box(part, 0.4))).otherwise(box(part, 1.0))
+    line = F.array(F.array(point(x, y), point(x1, y1)))
+    is_line = F.col("source_layer").isin("transportation", "waterway")
+    known = features(spark, sf_dir).join(at, "feature_id")
+    parts = F.when(is_line, F.array(line)).when(F.col("feature_id") % 4 == 0, F.array(filled(0), filled(1))).otherwise(F.array(filled(0)))
+    out = known.withColumn("geom_type", F.when(is_line, "LineString").otherwise("Polygon")).withColumn("rings", F.explode(parts))
+    return conform(out, "features")
+
+
 def edit_polygons(edits: DataFrame) -> DataFrame:
     """The painted rectangles as polygons on the plane of cell centres (spacing 1)."""
     half = 0.8660254037844386

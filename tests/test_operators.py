@@ -285,3 +285,86 @@ def test_mapping_and_run(spark):
     run = simulation.run(state, n, SimulationParams(vision_depth=2, agents_per_weight_unit=5), waves=2)
     assert run.desire.agg(F.sum("score")).first()[0] == run.contrib.agg(F.sum("n")).first()[0] > 0
     assert run.peak().first().peak >= 1 and run.unreachable.count() == 0 and run.cells.count() == state.count()
+
+
+def _inside(x, y, ring):
+    flips = 0
+    for (ax, ay), (bx, by) in zip(ring, [ring[-1], *ring[:-1]], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            flips += 1
+    return len(ring) > 2 and flips % 2 == 1
+
+
+def _shapes(seed, n=40):
+    """Stars that cross themselves, with holes that overlap each other or stick out."""
+    r = random.Random(seed)
+    star = lambda x, y, s: [(x + r.uniform(-s, s), y + r.uniform(-s, s)) for _ in range(r.randint(3, 9))]
+    out = []
+    for i in range(n):
+        x, y = r.uniform(-15, 15), r.uniform(-15, 15)
+        out.append((i, [star(x, y, 6)] + [star(x + r.uniform(-3, 3), y, 3) for _ in range(r.choice((0, 0, 1, 3)))]))
+    s = math.sqrt(3) / 2
+    # corners on centres, level edges on rows, a repeated first point
+    out.append((n, [[(0.0, 0.0), (4.0, 0.0), (4.0 + 1.5, 3 * s), (1.5, 3 * s), (0.0, 0.0)], [(2.0, s), (3.0, s), (2.5, 2 * s)]]))
+    return out
+
+
+def _polygons(spark, shapes):
+    schema = "id int, rings array<array<struct<x: double, y: double>>>"
+    return spark.createDataFrame([(i, rings and [[p and {"x": p[0], "y": p[1]} for p in ring] for ring in rings]) for i, rings in shapes], schema)
+
+
+@pytest.mark.parametrize("box", [None, (-6.0, -4.2, 7.5, 9.1)])
+def test_scanlines_equal_a_point_test_a_cell(spark, box):
+    shapes = _shapes(3)
+    twice = [*shapes, shapes[0], (99, [[(0.0, 0.0), (1.0, 1.0)]]), (98, []), (97, None), (96, [[(0.0, 0.0), (9.0, None), (0.0, 9.0)]])]
+    got = sorted(tuple(r) for r in raster.polygon_cells(_polygons(spark, twice), ["id"], box=box).select("id", "q", "r").collect())
+    want = []
+    for i, rings in [*shapes, shapes[0]]:
+        for q in range(-60, 60):
+            for r in range(-40, 40):
+                x, y = q + r / 2.0, math.sqrt(3) / 2 * r
+                if (box is None or box[0] <= x <= box[2] and box[1] <= y <= box[3]) and _inside(x, y, rings[0]) and not any(_inside(x, y, h) for h in rings[1:]):
+                    want.append((i, q, r))
+    assert got == sorted(want) and len(want) > 150
+
+
+def test_boxed_lines_have_the_same_cells_within(spark):
+    r = random.Random(6)
+    ends = [(i, *(r.randint(-40, 40) for _ in range(4))) for i in range(80)]
+    df, box = spark.createDataFrame(ends, "id int, q0 int, r0 int, q1 int, r1 int"), (-9.0, -5.0, 6.0, 12.0)
+    held = lambda q, r: box[0] <= q + r / 2 <= box[2] and box[1] <= math.sqrt(3) / 2 * r <= box[3]
+    whole = {tuple(x) for x in raster.segment_cells(df, ["id"]).collect()}
+    boxed = [tuple(x) for x in raster.segment_cells(df, ["id"], box=box).collect()]
+    assert whole == {(i, *c) for i, *e in ends for c in grid.path_cells(*e)}
+    assert {x for x in boxed if held(*x[1:])} == {x for x in whole if held(*x[1:])} and set(boxed) < whole
+
+
+def test_fast_scan_by_hand(spark):
+    """Holes, parts, lines that leave the area, several layers; the same whatever the area cuts off."""
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    shapes = [
+        (1, "park", None, "Polygon", [square(-30, -30, 60), square(0.6, 0.6, 3.0)]),
+        (2, "building", None, "Polygon", [square(-2.2, -2.2, 2.0)]),
+        (2, "building", None, "Polygon", [square(3.1, -2.2, 2.0)]),
+        (3, "transportation", "path", "LineString", [[(-50.0, 0.0), (50.0, 0.0)]]),
+        (4, "ocean", None, "Polygon", [square(-30, -30, 60)]),
+        (5, "water", None, "Polygon", None),
+    ]
+    rows = [(i, s, c, None, None, None, None, None, None, None, g, rings and [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for i, s, c, g, rings in shapes]
+    from hexflow.schema import TABLES
+
+    features = spark.createDataFrame(rows, TABLES["features"])
+    cells = disk_cells(spark, 6)
+    hits, corridor = raster.fast_scan(features, cells)
+    at = {i: (q + r / 2, math.sqrt(3) / 2 * r) for i, (q, r) in enumerate(grid.disk_offsets(6))}
+    inside = lambda i, x, y, s: _inside(*at[i], square(x, y, s))
+    want = sorted(
+        [(i, "0", 2.5) for i in at if not inside(i, 0.6, 0.6, 3.0)]
+        + [(i, "0", IMPASSABLE) for i in at if inside(i, -2.2, -2.2, 2.0) or inside(i, 3.1, -2.2, 2.0)]
+        + [(i, "0", 1.0) for i in at if abs(at[i][1]) < 0.1]
+    )
+    assert sorted(tuple(r) for r in hits.collect()) == want
+    assert {r.cell_id for r in corridor.collect()} == {i for i in at if abs(at[i][1]) < 0.1}
+    none, ways = raster.fast_scan(features, cells.limit(0))
+    assert none.count() == ways.count() == 0
