@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexflow.functions import classify as C
 from hexflow.functions import colour, geometry, grid
-from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, view, walk, wear
+from hexflow.operators import edits, friction, graph, nodes, plan, raster, repair, report, step, view, walk, wear
 from hexflow.params import SimulationParams
 from hexflow.sources import tables as S
 from hexflow.sources.shared import written
@@ -159,6 +159,14 @@ def gradient_reach(spark, d):
     return graph.reach(gradients(spark, d))
 
 
+def field_repair(spark, d):
+    """Fields of the painted area, repaired once every barrier that was painted is removed again."""
+    c, painted = S.cells(spark, d), _edit_cells(spark, d)
+    left = edits.remove_edits(painted, painted.where("surface_class = 'IMPASSABLE'").select("edit_id").distinct())
+    before, after = (written(edits.apply_edits(c, e)) for e in (painted, left))
+    return repair.repair(graph.gradient(before, dests(spark, d)), dests(spark, d), before, after)
+
+
 def unreachable_dests(spark, d):
     return graph.unreachable(dests(spark, d), gradients(spark, d))
 
@@ -392,7 +400,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, fast_scan_area, bbox_filter, adjacency,
-        grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, gradient_field, gradient_reach,
+        grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, gradient_field, gradient_reach, field_repair,
         unreachable_dests, initial_heading, visibility_k2, visibility_k15, line_of_sight, step_lines, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
         best_step_t0, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,
         colour_ramp, friction_colours, peak_flow, geojson_rows, tooltips, hex_boundary, node_readiness, node_counts, placement_check, pick_polygon, aoi_circle,

@@ -108,8 +108,14 @@ _CTE = {
     "ratio": "SELECT cell_id, score, least(1.0, ln(1 + score) / (SELECT ln(1 + max(score)) FROM desire)) AS ratio FROM desire",
     "export": "SELECT c.cell_id, d.score, c.affordance, c.friction FROM desire d JOIN state c USING (cell_id) WHERE d.score <> 0",
 }
-_KEYED = {"g": "(dest, cell_id, dist8) USING KEY (dest, cell_id)", "flood": "(src, dst, hops) USING KEY (src, dst)", "flood_in": "(src, dst, hops) USING KEY (src, dst)"}
+_KEYED = {"after_g": "(dest, cell_id, dist8) USING KEY (dest, cell_id)", "g": "(dest, cell_id, dist8) USING KEY (dest, cell_id)", "flood": "(src, dst, hops) USING KEY (src, dst)", "flood_in": "(src, dst, hops) USING KEY (src, dst)"}
 _RECURSIVE = {*_KEYED, "detour"}
+# the cells once the painted barriers are gone, and their fields
+_CTE["after"] = """SELECT c.cell_id, c.q, c.r, c.ord, coalesce(CASE arg_max(e.surface_class, e.draw_order) WHEN 'PAVEMENT' THEN 1.0 WHEN 'HEAVY_GRASS' THEN 4.0 END::DOUBLE, any_value(c.friction)) AS friction
+    FROM cells c LEFT JOIN (SELECT * FROM edits WHERE surface_class <> 'IMPASSABLE') e ON c.q BETWEEN e.q0 AND e.q1 AND c.r BETWEEN e.r0 AND e.r1 GROUP BY ALL"""
+_CTE["after_edges"] = re.sub(r"(FROM|JOIN) cells", r"\1 after", _CTE["edges"])
+_CTE["after_adj"] = _CTE["adj"].replace("FROM edges", "FROM after_edges")
+_CTE["after_g"] = re.sub(r"\bg\b(?=[. ]|$)", "after_g", _CTE["g"]).replace("JOIN cells", "JOIN after").replace("JOIN adj", "JOIN after_adj")
 # the cells of the features' lines, by the same steps as those of the hops
 for _name, _from, _to in (("lerp", "hops", "ways"), ("frac", "lerp", "ways_lerp"), ("cube", "frac", "ways_frac"), ("path", "cube", "ways_cube")):
     _CTE[f"ways_{_name}"] = _CTE[_name].replace(f"FROM {_from}", f"FROM {_to}")
@@ -192,6 +198,7 @@ ORACLE_SQL = {
         FROM cells c LEFT JOIN edits e ON c.q BETWEEN e.q0 AND e.q1 AND c.r BETWEEN e.r0 AND e.r1 GROUP BY c.cell_id)"""),
     "gradient_field": _with("g", body="SELECT dest, cell_id, CAST(dist8 AS INT) AS dist8 FROM g"),
     "gradient_reach": _with("g", body="SELECT dest, count(*) AS reached, CAST(max(dist8) AS INT) AS max_dist8, CAST(sum(dist8) AS BIGINT) AS sum_dist8 FROM g GROUP BY dest"),
+    "field_repair": _with("after_g", body="SELECT dest, cell_id, CAST(dist8 AS INT) AS dist8 FROM after_g"),
     "unreachable_dests": _with("g", body="SELECT dest FROM dests WHERE dest NOT IN (SELECT dest FROM g GROUP BY dest HAVING count(*) > 1)"),
     "initial_heading": _with("g", "edges", body="""SELECT dest, cell_id, CAST(floor((degrees(atan2((q1 - q0) + (r1 - r0) / 2.0, 0.8660254037844386::DOUBLE * (r1 - r0))) + 360.0) % 360.0 + 0.5) AS INT) AS heading FROM
         (SELECT g.dest, g.cell_id, e.*, row_number() OVER (PARTITION BY g.dest, g.cell_id ORDER BY n.dist8, e.dst_ord) AS k FROM g JOIN edges e ON e.src = g.cell_id AND f0 < 999999 AND f1 < 999999 JOIN g n ON n.dest = g.dest AND n.cell_id = e.dst WHERE n.dist8 < g.dist8) WHERE k = 1"""),
