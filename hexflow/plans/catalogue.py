@@ -9,8 +9,9 @@ from hexflow.functions import classify as C
 from hexflow.functions import colour, geometry, grid
 from hexflow.operators import edits, friction, graph, nodes, plan, raster, repair, report, step, view, walk, wear
 from hexflow.params import SimulationParams
+from hexflow.sources import layout
 from hexflow.sources import tables as S
-from hexflow.sources.shared import written
+from hexflow.sources.shared import Steps, written
 
 #: Rounding of doubles that two engines add up in their own order.
 DIGITS = 6
@@ -151,6 +152,32 @@ def surface_edits_effective(spark, d):
     return edits.apply_edits(S.cells(spark, d), _edit_cells(spark, d)).select("cell_id", "friction", "affordance")
 
 
+def edit_events(spark, d):
+    """Surfaces after all paint and remove events; the batch form of the stream in ``streaming.edits``."""
+    from hexflow.streaming.edits import surfaces
+
+    return surfaces(S.edit_events(spark, d), S.cells(spark, d))
+
+
+def features_in_box(spark, d):
+    """Features laid out along the curve, and those whose boxes meet a small one."""
+    path = f"{Steps(spark).place}/features"
+    layout.arrange(S.map_features(spark, d), path, per_file=500)
+    found = layout.scan(spark, path, (5.0, 0.0, 40.0, 20.0))
+    return _round(found.select("feature_id", "source_layer", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
+
+
+def geojson_round_trip(spark, d):
+    """The exported cells, written and read by the GeoJSON data source."""
+    from hexflow.sources.geojson_source import CellGeoJson
+
+    spark.dataSource.register(CellGeoJson)
+    path = f"{Steps(spark).place}/cells"
+    rows = report.export_rows(trace_desire(spark, d), S.cells(spark, d), _state(spark, d)).join(S.cells(spark, d).select("cell_id", "q", "r"), "cell_id")
+    rows.select("cell_id", "q", "r", "score", "affordance", "friction").write.format("cell_geojson").mode("append").option("path", path).save()
+    return spark.read.format("cell_geojson").option("path", path).load()
+
+
 def gradient_field(spark, d):
     return gradients(spark, d)
 
@@ -400,10 +427,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, fast_scan_area, bbox_filter, adjacency,
-        grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, gradient_field, gradient_reach, field_repair,
+        grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, edit_events, features_in_box, gradient_field, gradient_reach, field_repair,
         unreachable_dests, initial_heading, visibility_k2, visibility_k15, line_of_sight, step_lines, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
         best_step_t0, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,
-        colour_ramp, friction_colours, peak_flow, geojson_rows, tooltips, hex_boundary, node_readiness, node_counts, placement_check, pick_polygon, aoi_circle,
+        colour_ramp, friction_colours, peak_flow, geojson_rows, geojson_round_trip, tooltips, hex_boundary, node_readiness, node_counts, placement_check, pick_polygon, aoi_circle,
         mdd, sum_of_paths, accuracy_k, latency_percentiles, trace_windows,
     )
 }

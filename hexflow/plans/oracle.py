@@ -196,6 +196,12 @@ ORACLE_SQL = {
         (SELECT c.cell_id, coalesce(p.friction, h.friction, c.friction, 1.0) AS f, h.w AS wb, p.w AS wp FROM cells c LEFT JOIN halo h USING (cell_id) LEFT JOIN wide p ON p.cell_id = c.cell_id)))"""),
     "surface_edits_effective": _with("cells", "edits", body=f"""SELECT cell_id, f AS friction, {_AFF.format('f')} AS affordance FROM (SELECT c.cell_id, coalesce({_FRICTION.format('arg_max(e.surface_class, e.draw_order)')}, any_value(c.friction)) AS f
         FROM cells c LEFT JOIN edits e ON c.q BETWEEN e.q0 AND e.q1 AND c.r BETWEEN e.r0 AND e.r1 GROUP BY c.cell_id)"""),
+    "edit_events": _with("cells", "edits", body="""SELECT cell_id, arg_max(edit_id, draw_order) AS edit_id, arg_max(surface_class, draw_order) AS surface_class FROM cells c
+        JOIN (SELECT * FROM edits WHERE surface_class <> 'IMPASSABLE') e ON c.q BETWEEN e.q0 AND e.q1 AND c.r BETWEEN e.r0 AND e.r1 GROUP BY cell_id"""),
+    "features_in_box": _with("features", "shapes", "ways", body=f"""SELECT feature_id, source_layer, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM features f JOIN
+        (SELECT feature_id, x0, y0, x1, y1, false AS is_line FROM shapes WHERE NOT hole UNION ALL SELECT step, least(q0 + r0 / 2.0::DOUBLE, q1 + r1 / 2.0::DOUBLE), least(r0, r1) * 0.8660254037844386::DOUBLE,
+         greatest(q0 + r0 / 2.0::DOUBLE, q1 + r1 / 2.0::DOUBLE), greatest(r0, r1) * 0.8660254037844386::DOUBLE, true FROM ways) s USING (feature_id)
+        WHERE is_line = (source_layer IN ('transportation', 'waterway')) AND source_layer IN {_in(C.LAYERS)} AND x0 <= 40 AND x1 >= 5 AND y0 <= 20 AND y1 >= 0"""),
     "gradient_field": _with("g", body="SELECT dest, cell_id, CAST(dist8 AS INT) AS dist8 FROM g"),
     "gradient_reach": _with("g", body="SELECT dest, count(*) AS reached, CAST(max(dist8) AS INT) AS max_dist8, CAST(sum(dist8) AS BIGINT) AS sum_dist8 FROM g GROUP BY dest"),
     "field_repair": _with("after_g", body="SELECT dest, cell_id, CAST(dist8 AS INT) AS dist8 FROM after_g"),
@@ -238,6 +244,7 @@ ORACLE_SQL = {
         CASE WHEN friction >= 999999 THEN 60 WHEN friction = 4.0 THEN 96 WHEN friction = 2.5 THEN 84 ELSE 255 END AS blue, CASE WHEN friction >= 999999 THEN 160 WHEN friction = 4.0 THEN 120 WHEN friction = 2.5 THEN 90 ELSE 25 END AS alpha FROM cells"""),
     "peak_flow": _with("desire", body="SELECT coalesce(max(score), 1) AS peak, coalesce(max(score), 1) AS readout FROM desire"),
     "geojson_rows": _with("export", body="SELECT cell_id, score, affordance, friction FROM export"),
+    "geojson_round_trip": _with("export", "cells", body="SELECT e.cell_id, q, r, score, affordance, e.friction FROM export e JOIN cells c USING (cell_id)"),
     "tooltips": _with("export", body="SELECT cell_id, score AS flow, printf('%.2f', affordance) AS affordance, CASE WHEN friction >= 999999 THEN 'Impassable' WHEN friction < 1.75 THEN 'Pavement' WHEN friction < 3.25 THEN 'Light park' ELSE 'Heavy grass' END AS type, friction FROM export"),
     "hex_boundary": _with("cells", body="SELECT cell_id, CAST(i AS INT) AS corner, round(q + r / 2.0::DOUBLE + cos(radians(60.0 * i + 30.0)) / sqrt(3.0::DOUBLE), 6) + 0.0::DOUBLE AS x, round(r * sqrt(3.0::DOUBLE) / 2 + sin(radians(60.0 * i + 30.0)) / sqrt(3.0::DOUBLE), 6) + 0.0::DOUBLE AS y FROM cells, range(6) t(i)"),
     "node_readiness": _with("nodes", body="SELECT count(*) AS n_active, count(*) >= 2 AND bool_or(type <> 'destination') AND bool_or(type <> 'origin') AS has_build_inputs, bool_or(type <> 'destination') AND bool_or(type <> 'origin') AS is_ready FROM nodes WHERE weight > 0"),

@@ -52,6 +52,16 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out.select(o.alias("edit_id"), o.alias("draw_order"), cls.alias("surface_class"), (c % 46).alias("q0"), (c % 46 + 4).alias("q1"), row.alias("r0"), (row + 2).alias("r1")), "edits")
 
 
+def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edit as a paint event, in the order of the orders' numbers, and later a remove event for each barrier."""
+    from hexflow.streaming.edits import EVENTS
+
+    e = edits(spark, sf_dir)
+    barrier = F.when(F.col("surface_class") == "IMPASSABLE", F.array(F.lit("paint"), F.lit("remove"))).otherwise(F.array(F.lit("paint")))
+    out = e.withColumn("event", F.explode(barrier)).withColumn("seq", F.col("edit_id") + F.when(F.col("event") == "remove", F.lit(1 << 40)).otherwise(F.lit(0)))
+    return out.select(*[x.split()[0] for x in EVENTS.split(", ")])
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
     out = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
