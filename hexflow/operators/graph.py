@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +31,6 @@ def degree_histogram(adj: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(degree, "cell_id", "left").groupBy(F.coalesce("degree", F.lit(0)).alias("degree")).agg(F.count("*").alias("n"))
 
 
-#: Edges of the largest area that one simulation is handed by broadcast.
-BROADCAST_EDGES = 6_000_000
-
-
-class Csr:
-    """Edges by source as offsets, for the kernels."""
-
-    def __init__(self, edges: pd.DataFrame):
-        self.ids = np.unique(np.concatenate([edges.src.to_numpy(), edges.dst.to_numpy()]))
-        src, dst = np.searchsorted(self.ids, edges.src), np.searchsorted(self.ids, edges.dst)
-        order = np.lexsort((dst, src))
-        self.dst, self.w = dst[order].astype(np.int32), edges.w8.to_numpy()[order].astype(np.int32)
-        self.first = np.searchsorted(src[order], np.arange(len(self.ids) + 1))
-
-    def distances(self, target: int) -> np.ndarray:
-        """In eighths: what the cells after the target cost, the target itself nothing; -1 where unreachable."""
-        dist = np.full(len(self.ids), -1, dtype=np.int64)
-        at = int(np.searchsorted(self.ids, target))
-        if at == len(self.ids) or self.ids[at] != target:
-            return dist
-        first, dst, w = self.first.tolist(), self.dst, self.w
-        best, heap = {at: 0}, [(0, at)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if dist[u] >= 0:
-                continue
-            dist[u] = d
-            for v, c in zip(dst[first[u] : first[u + 1]].tolist(), w[first[u] : first[u + 1]].tolist(), strict=True):
-                if dist[v] < 0 and d + c < best.get(v, 1 << 62):
-                    best[v] = d + c
-                    heapq.heappush(heap, (d + c, v))
-        return dist
-
-
 def gradient_rounds(adj: DataFrame, dests: DataFrame) -> DataFrame:
     """``gradient`` from any edges (src, dst, w8), a join a round: min(d + w), improved rows go on.  Rounds follow the number of cells of a path."""
     steps = Steps(adj.sparkSession)

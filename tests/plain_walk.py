@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from dataclasses import dataclass
@@ -11,7 +12,6 @@ import pandas as pd
 
 from hexflow.functions.grid import NEIGHBOURS, path_cells
 from hexflow.functions.hashing import draw
-from hexflow.operators import graph
 from hexflow.params import FOOTPRINT_GAIN, IMPASSABLE, W_THETA, SimulationParams
 
 STALLS = 3
@@ -21,6 +21,36 @@ def _bearing(dq: int, dr: int) -> float:
     return math.degrees(math.atan2(dq + dr / 2, math.sqrt(3) / 2 * dr)) % 360
 
 
+class Csr:
+    """Edges by source as offsets, for the kernels."""
+
+    def __init__(self, edges: pd.DataFrame):
+        self.ids = np.unique(np.concatenate([edges.src.to_numpy(), edges.dst.to_numpy()]))
+        src, dst = np.searchsorted(self.ids, edges.src), np.searchsorted(self.ids, edges.dst)
+        order = np.lexsort((dst, src))
+        self.dst, self.w = dst[order].astype(np.int32), edges.w8.to_numpy()[order].astype(np.int32)
+        self.first = np.searchsorted(src[order], np.arange(len(self.ids) + 1))
+
+    def distances(self, target: int) -> np.ndarray:
+        """In eighths: what the cells after the target cost, the target itself nothing; -1 where unreachable."""
+        dist = np.full(len(self.ids), -1, dtype=np.int64)
+        at = int(np.searchsorted(self.ids, target))
+        if at == len(self.ids) or self.ids[at] != target:
+            return dist
+        first, dst, w = self.first.tolist(), self.dst, self.w
+        best, heap = {at: 0}, [(0, at)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if dist[u] >= 0:
+                continue
+            dist[u] = d
+            for v, c in zip(dst[first[u] : first[u + 1]].tolist(), w[first[u] : first[u + 1]].tolist(), strict=True):
+                if dist[v] < 0 and d + c < best.get(v, 1 << 62):
+                    best[v] = d + c
+                    heapq.heappush(heap, (d + c, v))
+        return dist
+
+
 @dataclass
 class Ground:
     """The passable cells: place, friction, affordance; and where the neighbours of each are."""
@@ -31,7 +61,7 @@ class Ground:
     order: np.ndarray
     friction: np.ndarray
     affordance: np.ndarray
-    csr: graph.Csr
+    csr: Csr
 
     @classmethod
     def of(cls, cells: pd.DataFrame) -> Ground:
@@ -39,7 +69,7 @@ class Ground:
         at = {(q, r): i for i, (q, r) in enumerate(zip(cells.q.tolist(), cells.r.tolist(), strict=True))}
         ids, w8 = cells.cell_id.to_numpy(), np.floor(8 * cells.friction.to_numpy() + 0.5).astype(int)
         edges = [(ids[i], ids[j], w8[j]) for (q, r), i in at.items() for dq, dr in NEIGHBOURS if (j := at.get((q + dq, r + dr))) is not None]
-        csr = graph.Csr(pd.DataFrame(edges or np.zeros((0, 3), int), columns=["src", "dst", "w8"]))
+        csr = Csr(pd.DataFrame(edges or np.zeros((0, 3), int), columns=["src", "dst", "w8"]))
         return cls(ids, cells.q.to_numpy(), cells.r.to_numpy(), cells.ord.to_numpy(), cells.friction.to_numpy(float), cells.affordance.to_numpy(float), csr)
 
     def __post_init__(self):

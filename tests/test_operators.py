@@ -182,9 +182,11 @@ def test_kernel_step_equals_the_declarative_step(spark):
     cells = friction.initial_affordance(disk_cells(spark, 3, {5, 6})).withColumn("footprints", F.col("cell_id") % 3)
     g = graph.gradient(cells, spark.createDataFrame([(30,)], "dest long"))
     ground = walk.Ground.of(cells.toPandas())
-    far = ground.distances(30)
     import numpy as np
 
+    known = {r.cell_id: r.dist8 / 8 for r in g.collect()}
+    far = np.array([known.get(i, np.inf) for i in ground.ids.tolist()])
+
     marks = ground.ids % 3
     agents = spark.createDataFrame([(f"1:30:{i}", i, 30, 45) for i in range(7, 30)], "agent string, curr long, dest long, heading int")
     for t in (0, 0.5):
@@ -210,7 +212,7 @@ def test_walk_equals_the_plain_replay(spark, p):
     import dataclasses
 
     p = dataclasses.replace(p, agents_per_weight_unit=3)
-    for seed, barred in ((1, 0), (2, 2)):
+    for seed, barred, side in ((1, 0, walk.SIDE), (2, 2, 9)):  # one tile, and many
         rows = random_ground(seed, barred)
         cells = spark.createDataFrame(rows, "cell_id long, q int, r int, ord int, friction double, affordance double").repartition(5)
         g = plain_walk.Ground.of(cells.toPandas())
@@ -220,8 +222,8 @@ def test_walk_equals_the_plain_replay(spark, p):
         fields = graph.gradient(cells, plan.destinations(n).select(F.col("cell_id").alias("dest")))
         pairs = plan.apportion(plan.reachable_od(n, cells, fields), p.agents_per_weight_unit).join(plan.od_matrix(n, cells), ["origin", "dest"])
         known = [tuple(x) for x in pairs.select("origin", "dest", "assigned", "grid_dist", plan.max_ticks(F.col("grid_dist"), F.lit(len(rows)))).collect()]
-        got = {(x.dest, x.cell_id): x.n for x in walk.simulate(cells, n, p, waves=3).collect()}
-        assert got == plain_walk.simulate(cells.toPandas(), known, p, 3) and len(got) > 20
+        got = {(x.dest, x.cell_id): x.n for x in walk.simulate(cells, n, p, waves=2, side=side).collect()}
+        assert got == plain_walk.simulate(cells.toPandas(), known, p, 2) and len(got) > 20
 
 
 def test_wear_and_decay_bounds(spark):
