@@ -275,15 +275,28 @@ def max_ticks(spark, d):
     return plan.od_matrix(S.nodes(spark, d), S.cells(spark, d)).crossJoin(F.broadcast(n)).select("origin", "dest", plan.max_ticks(F.col("grid_dist"), F.col("n")).alias("ticks"))  # one row
 
 
-def _candidates(spark, d):
+def _agents(spark, d, g):
     """One agent per user trace, heading where the trace's step says, towards every destination that its cell reaches."""
-    c, g = S.cells(spark, d), gradients(spark, d)
-    t = S.traces(spark, d)
-    at = t.select("user_id", "step", "cell_id").join(g.where("dist8 > 0").select("dest", "cell_id"), "cell_id")
+    at = S.traces(spark, d).select("user_id", "step", "cell_id").join(g.where("dist8 > 0").select("dest", "cell_id"), "cell_id")
     agent = F.concat_ws(":", "cell_id", "dest", "step")
-    agents = at.select(agent.alias("agent"), F.col("cell_id").alias("curr"), "dest", ((F.col("step") * 7) % 360).alias("heading"))
-    state = c.join(trace_desire(spark, d), "cell_id", "left").select("cell_id", "friction", C.affordance_of(F.col("friction")).alias("affordance"), F.coalesce("score", F.lit(0)).alias("footprints"))
-    return step.candidates(agents, graph.visibility(c, SHALLOW.vision_depth), state, g)
+    return at.select(agent.alias("agent"), F.col("cell_id").alias("curr"), "dest", ((F.col("step") * 7) % 360).alias("heading"))
+
+
+def _trodden(spark, d):
+    c = S.cells(spark, d)
+    return c.join(trace_desire(spark, d), "cell_id", "left").select("cell_id", "q", "r", "ord", "friction", C.affordance_of(F.col("friction")).alias("affordance"), F.coalesce("score", F.lit(0)).alias("footprints"))
+
+
+def _candidates(spark, d):
+    g = gradients(spark, d)
+    state = _trodden(spark, d).select("cell_id", "friction", "affordance", "footprints")
+    return step.candidates(_agents(spark, d, g), graph.visibility(S.cells(spark, d), SHALLOW.vision_depth), state, g)
+
+
+def best_step_k15(spark, d):
+    """The best step of every agent at the default vision depth."""
+    g = gradients(spark, d)
+    return walk.next_steps(_agents(spark, d, g), _trodden(spark, d), g, SimulationParams(temperature=0), digits=9).select("agent", "next")
 
 
 def best_step_t0(spark, d):
@@ -429,7 +442,7 @@ QUERIES = {
         tier_histogram, layer_merge, ground_friction, classify_features, vertical_layer, aoi_cells, polygon_raster, line_raster, fast_scan_area, bbox_filter, adjacency,
         grid_distance, grid_disk, degree_histogram, barrier_halo, corridor_widen, cell_assembly, surface_edits_effective, edit_events, features_in_box, gradient_field, gradient_reach, field_repair,
         unreachable_dests, initial_heading, visibility_k2, visibility_k15, line_of_sight, step_lines, bearing_pairs, angle_diff, od_matrix, reachable_od, apportionment, wave_split, wave_count, max_ticks,
-        best_step_t0, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,
+        best_step_t0, best_step_k15, softmax_step, rule_steps, desire_counts, contrib_by_dest, desire_grouping_sets, desire_walk, wear_update, decay_update, flow_ratio,
         colour_ramp, friction_colours, peak_flow, geojson_rows, geojson_round_trip, tooltips, hex_boundary, node_readiness, node_counts, placement_check, pick_polygon, aoi_circle,
         mdd, sum_of_paths, accuracy_k, latency_percentiles, trace_windows,
     )

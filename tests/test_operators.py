@@ -201,6 +201,23 @@ def test_kernel_step_equals_the_declarative_step(spark):
     assert {r.agent: r.next for r in alone.collect()} == {f"1:30:{i}": int(ground.ids[walk.fallback(ground, int(np.searchsorted(ground.ids, i)), far)]) for i in range(7, 30)}
 
 
+@pytest.mark.parametrize(("temperature", "side"), [(0, 6), (0.5, 6), (0.5, 64)])
+def test_steps_by_tiles_equal_the_declarative_steps(spark, monkeypatch, temperature, side):
+    monkeypatch.setattr(walk, "AGENTS_PER_RUN", 20)
+    p = SimulationParams(vision_depth=5, temperature=temperature)
+    rows = random_ground(5, 2)
+    cells = spark.createDataFrame(rows, "cell_id long, q int, r int, ord int, friction double, affordance double").withColumn("footprints", F.col("ord") % 7)
+    open_ = [x[0] for x in rows if x[4] < IMPASSABLE]
+    g = graph.gradient(cells, spark.createDataFrame([(open_[3],), (open_[-5],)], "dest long"))
+    r = random.Random(1)
+    agents = [(f"a{i}", r.choice(open_), r.choice((open_[3], open_[-5])), r.randrange(360)) for i in range(150)] + [("gone", -5, open_[3], 0)]
+    df = spark.createDataFrame(agents, "agent string, curr long, dest long, heading int")
+    cands = step.candidates(df, graph.visibility(cells, 5), cells, g)
+    want = {x.agent: x.next for x in (step.softmax_step if temperature else step.best_step)(cands, p).collect()}
+    got = {x.agent: x.next for x in walk.next_steps(df, cells, g, p, side=side, digits=9).collect()}
+    assert {a: n for a, n in got.items() if a in want} == want and len(want) > 100 and "gone" not in got
+
+
 def random_ground(seed, barred):
     r = random.Random(seed)
     rows = [(100 + 7 * i, q, s, r.randrange(10**6), r.choice([1.0, 1.0, 2.5, 4.0] + [IMPASSABLE] * barred)) for i, (q, s) in enumerate(grid.disk_offsets(8))]
