@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hexflow.llm import text as T
 from hexflow.llm.shared import Tables
@@ -197,20 +198,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-2 * chars // BLOCK_CHARS)) if chars > BLOCK_CHARS else 1  # dealt by hash: half full on average
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if keep else []))
-    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    # each text goes to the workers once, and doesn't come back from the last pass unless it is kept
+    given = F.struct("*").alias("doc") if keep else F.col(text_col).alias("text")
+    out = docs.select(F.col(id_col).alias("id"), given, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     schema, spark = out.schema, docs.sparkSession
     written, before = Tables(spark) if n_blocks > 1 else None, None
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).toPandas()
         shared = spark.sparkContext.broadcast(Block.build(block.item.tolist(), block.text.tolist(), size))
 
-        def scan(batches, shared=shared):
+        last_pass = k == n_blocks - 1
+        names = [c for c in schema.names if not last_pass or c not in ("text", "hits")]
+
+        def scan(batches, shared=shared, names=names):
             held = shared.value
             for batch in batches:
+                texts = batch.column("doc").field(text_col) if keep else batch.column("text")
                 n, n_hit, bits, found = [], [], [], []
                 before, were = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for (hit, which), old, known in zip(_scan(batch.column("text"), held), before, were, strict=True):
+                for (hit, which), old, known in zip(_scan(texts, held), before, were, strict=True):
                     if old:
                         hit = hit | np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=len(hit)).astype(bool)
                     n.append(len(hit))
@@ -218,9 +224,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id
                     bits.append(np.packbits(hit).tobytes() if hit.any() else None)
                     found.append(sorted({*known, *(held.names[i] for i in which)}) if len(which) else known)
                 new = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hits": pa.array(bits, pa.binary()), "items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(scan, StructType([schema[c] for c in names]))
         if k < n_blocks - 1:
             out, last = written.keep(out), before
             before = out
