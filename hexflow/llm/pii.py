@@ -272,7 +272,9 @@ def _evident(kind: int, text: str) -> bool:
         return "." in domain.strip() and not any(c.isspace() for c in local.strip() + domain.strip()) and bool(local.strip())
     if kind == 1:
         return 4 <= digits <= 12 and text.count(".") == 3
-    return 12 <= digits <= 19 if kind == 2 else 8 + (text[0] != "+") <= digits <= 15  # a date has eight
+    if kind == 2:  # a run that fails the check digit is no card, however it is written
+        return 12 <= digits <= 19 and _luhn([int(c) for c in text if c in "0123456789"])
+    return 8 + (text[0] != "+") <= digits <= 15  # a date has eight
 
 
 def all_spans(base: list[list[tuple[int, int]]], runs, text: str) -> list[list[tuple[int, int]]]:
