@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op1_wu_manber": decontaminate.OP1_SQL,
     "op7_heavy_light": jaccard_join.OP7_SQL,
     "op9_prefix_filter": line_dedup.OP9_SQL,
+    "op13_two_automata": spelling.OP13_SQL,
 }

@@ -244,3 +244,31 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op13_two_automata(spark, sf_dir: str) -> DataFrame:
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 of each byte, from its polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+#: Near words by their deletions: equal with one place deleted in both (replaced), or one is the other's deletion.
+OP13_SQL = rf"""
+WITH RECURSIVE run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+    WHERE length(run) >= {LETTERS} GROUP BY ALL),
+hexed AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM run),
+coded AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), (xor(c, b) & 255) + 1))), 4294967295::BIGINT) AS h FROM hexed),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {SLIP} = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, k FROM coded) WHERE length(word) >= {LETTERS} GROUP BY word HAVING sum(k) >= {TWICE}),
+d AS (SELECT word, n, i, word[1 : i] || word[i + 2 :] AS x FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.i = b.i AND a.x = b.x AND a.word <> b.word UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.x UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.x),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {TIMES} * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.n = most) END AS form, CASE WHEN most >= {TIMES} * w.n THEN most END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS links FROM f UNION ALL SELECT c.word, f.form, links + 1 FROM chain c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, links) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN root USING (word)
+"""

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from hexflow.llm import spelling
@@ -130,3 +131,11 @@ def test_odd_rows(spark):
 def test_query_on_given_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert got(spelling.op13_two_automata(spark, "/root/testdata/sf0.01")) == brute(rows)
+
+
+def test_query_equals_its_sql(spark):
+    db = duckdb.connect()
+    db.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    columns = ["word", "form", "root", "n", "n_near", "form_n"]
+    want = {tuple(None if x != x else x for x in r) for r in db.execute(spelling.OP13_SQL).df()[columns].astype(object).where(lambda d: d.notna(), None).itertuples(index=False)}
+    assert {tuple(r) for r in spelling.op13_two_automata(spark, "/root/testdata/sf0.01").select(*columns).collect()} == want
