@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hexflow.functions import colour, grid
 from hexflow.functions.classify import friction_tier
+from hexflow.sources.shared import written
 
 
 def merge_desire(*parts: DataFrame) -> DataFrame:
@@ -45,25 +46,21 @@ def tooltips(rows: DataFrame) -> DataFrame:
 def latencies(events: DataFrame, value: str = "value", by: str = "event_type") -> DataFrame:
     """Count, exact p50, p95 and p99 (the value at the rank that reaches the share) and maximum of a measure per kind.
 
-    Equal values are counted first, so what is ranked is the different values of a kind, in ranges that
-    are summed in parallel and only then put together.
+    Equal values are counted first.  The different values are then dealt into ranges of about as many each, however long
+    the tail, and written once with their range; ranges are summed in parallel and only then put together.
     """
     each = events.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    spans = each.groupBy(by).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    part = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES), F.lit(RANGES - 1))
-    ranged = each.join(spans, by).withColumn("_part", F.when(F.col("_high") > F.col("_low"), part).otherwise(F.lit(0)))
-    before = F.sum("_m").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # RANGES rows a kind
-    starts = ranged.groupBy(by, "_part").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_m")
+    ranged = written(each.repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(by, "_part").agg(F.sum("_n").alias("_m"))
+    kind = Window.partitionBy(by)  # a row a range
+    before = F.sum("_m").over(kind.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(by, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(kind).alias("_all"))
     rank = F.col("_before") + F.sum("_n").over(Window.partitionBy(by, "_part").orderBy("_v"))
     ranked = ranged.join(starts, [by, "_part"]).withColumn("_rank", rank)
     at = lambda s: F.min(F.when(F.col("_rank") >= F.ceil(F.col("_all") * F.lit(s)), F.col("_v")))
     return ranked.groupBy(by).agg(F.sum("_n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("_v").alias("max"))
 
 
-#: Ranges of a kind's values that are ranked apart.
-RANGES = 256
-
-
 def mean_distance_difference(steps: DataFrame, gradients: DataFrame) -> DataFrame:
     """``dest, mdd``: the mean of what each walked step's cell lies off the walk's least distance.
 

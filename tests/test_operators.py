@@ -243,6 +243,16 @@ def test_walk_equals_the_plain_replay(spark, p):
         assert got == plain_walk.simulate(cells.toPandas(), known, p, 2) and len(got) > 20
 
 
+def test_percentiles_of_a_long_tail(spark):
+    r = random.Random(2)
+    rows = [("a", r.paretovariate(0.4)) for _ in range(3000)] + [("b", float(r.randrange(3))) for _ in range(500)] + [("c", 5.0), ("d", None), ("a", 1e300)]
+    got = {x.event_type: tuple(x)[1:] for x in report.latencies(spark.createDataFrame(rows, "event_type string, value double").repartition(4)).collect()}
+    for k in "abc":
+        own = sorted(v for kind, v in rows if kind == k)
+        assert got[k] == (len(own), *[own[math.ceil(len(own) * s) - 1] for s in (0.5, 0.95, 0.99)], own[-1])
+    assert set(got) == {"a", "b", "c"}
+
+
 def test_wear_and_decay_bounds(spark):
     rows = [(1, 1.0, 1.0), (2, 2.5, 0.9), (3, 4.0, 0.3), (4, IMPASSABLE, 0.0), (5, 2.4, 0.02)]
     cells = spark.createDataFrame(rows, "cell_id long, friction double, affordance double")
