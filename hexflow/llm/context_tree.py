@@ -193,7 +193,10 @@ class Upper:
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; the others train."""
+    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every document; the others train.
+
+    The last is the model's code length, spread over the text's bytes and its end sign.
+    """
     tables = Tables(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, trained = given.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
@@ -285,7 +288,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             flat = b"".join(got[which, k] for k in range(n_buckets) if (which, k) in got)
             value[which] = np.empty(len(keys), np.uint32 if which == WORD else np.float32)
             value[which][order] = np.frombuffer(flat, value[which].dtype)
-        base, known, tokens, model_score = [], [], [], []
+        base, known, tokens, model_score, symbols = [], [], [], [], []
         for a, b in T.slices(offsets):
             w = T.words(offsets, data, a, b, T.SPACED)
             c = value[WORD][np.searchsorted(entries[WORD][0], w.hashes())].astype(float)
@@ -298,10 +301,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             own_grams, back = np.unique(g, return_inverse=True)
             p = value[GRAM][np.searchsorted(entries[GRAM][0], own_grams)][back].astype(float)
             model_score.append(np.add.reduceat(p, first[:-1]))
+            symbols.append(np.diff(first))
         cat = lambda x: pa.array(np.concatenate(x))
-        return pa.table([left.column("id"), left.column("held_out"), cat(tokens), cat(known), pa.array([total] * len(left), pa.int64()), cat(base), cat(model_score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([left.column("id"), left.column("held_out"), cat(tokens), cat(known), pa.array([total] * len(left), pa.int64()), cat(base), cat(model_score), pa.array(np.concatenate(model_score) / -np.log10(2) / np.concatenate(symbols))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    out = f"id {given.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = f"id {given.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return given.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish_chunk, out)
 
 

@@ -338,8 +338,10 @@ def training_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     part = SAMPLE_DOCS / max(1, docs.count())
     given = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30))).where(F.col("text").rlike("[0-9@]")).select("text")
-    stretches = Tables(docs.sparkSession).keep(given.mapInArrow(cut, "kind int, priority long, chars binary, tags binary").distinct())
+    tables = Tables(docs.sparkSession)
+    stretches = tables.keep(given.mapInArrow(cut, "kind int, priority long, chars binary, tags binary").distinct())
     rows = [r for k in range(2 * len(KINDS) + 2) for r in stretches.where(F.col("kind") == k).orderBy("priority", "chars", "tags").limit(PER_KIND // 2).collect()]
+    tables.drop(stretches)
     chars, tags = np.full((len(rows), STRETCH), PAD, np.int64), np.zeros((len(rows), STRETCH), np.int64)
     for i, r in enumerate(rows):
         chars[i, : len(r.chars)] = np.frombuffer(r.chars, np.uint8)

@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     # a label teaches once, however many rows repeat its doc_id
     one = chosen.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row"))
-    sample = Tables(docs.sparkSession).keep(one.select("row.text", "row.toxic"))
+    tables = Tables(docs.sparkSession)
+    sample = tables.keep(one.select("row.text", "row.toxic"))
 
     def count(batches):
         pos, neg = {}, {}
@@ -250,6 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"counts": list(shared.value.counts(pa.array(batch.text))), "toxic": batch.toxic})
 
     rows = sample.mapInPandas(features, "counts array<double>, toxic int").toPandas()
+    tables.drop(sample)
     if len(rows):
         grammar.fit(np.stack(rows.counts), (rows.toxic == 1).to_numpy(float))
     return grammar

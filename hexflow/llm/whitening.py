@@ -93,7 +93,15 @@ def _sums(listed: DataFrame) -> tuple[int, list[int]]:
 
 def fit(x: DataFrame, components: int | None = None) -> Whitening:
     """The whitening of the distinct vectors of ``x``; by default, all components that can be told from nought."""
-    listed = Tables(x.sparkSession).keep(x.select("x").distinct())
+    tables = Tables(x.sparkSession)
+    listed = tables.keep(x.select("x").distinct())
+    try:
+        return _fitted(listed, components)
+    finally:
+        tables.drop(listed)
+
+
+def _fitted(listed: DataFrame, components: int | None) -> Whitening:
     n, sums = _sums(listed)
     d = len(sums)
     if n < 2:

@@ -92,6 +92,7 @@ def test_equals_brute_force(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(tokens), sum(counts[x] > 0 for x in tokens), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in tokens))
         assert r.score == pytest.approx(tree.log10(t), rel=1e-5)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len((t or "").encode()) + 1))
 
 
 def test_nothing_to_learn_from(spark):
