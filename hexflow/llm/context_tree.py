@@ -76,11 +76,25 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g[coded], np.concatenate([[0], np.cumsum(n + 1)])
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts added up."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate([c for _, c in parts])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.uint32) if len(first) else counts
+
+
+#: Entries of a chunk that wait before they are added up.
+PENDING = 1 << 20
+
+
 def _entries(table: pa.Table):
     """The chunk's slices, and its distinct words and grams with training counts, ascending."""
     offsets, data = T.utf8(table.column("text"))
     train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-    parts: dict[int, list] = {WORD: [], GRAM: []}
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    parts: dict[int, list] = {WORD: [nothing], GRAM: [nothing]}
     for a, b in T.slices(offsets):
         w = T.words(offsets, data, a, b, T.SPACED)
         g, first = grams(w.data, w.offsets)
@@ -88,13 +102,10 @@ def _entries(table: pa.Table):
             learned = np.repeat(train[a:b], n)
             found, counts = np.unique(keys[learned], return_counts=True)
             asked = np.unique(keys[~learned])
-            parts[kind].append((np.concatenate([found, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)])))
-    out = {}
-    for kind, own in parts.items():
-        keys, counts = np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own])
-        keys, back = np.unique(keys, return_inverse=True)
-        out[kind] = keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.uint32)
-    return (offsets, data), out
+            parts[kind].append((np.concatenate([found, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]).astype(np.uint32)))
+            if sum(len(k) for k, _ in parts[kind][1:]) > PENDING:
+                parts[kind] = [_summed(parts[kind])]
+    return (offsets, data), {kind: _summed(own) for kind, own in parts.items()}
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
