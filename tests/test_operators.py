@@ -203,7 +203,7 @@ def test_kernel_step_equals_the_declarative_step(spark):
 
 @pytest.mark.parametrize(("temperature", "side"), [(0, 6), (0.5, 6), (0.5, 64)])
 def test_steps_by_tiles_equal_the_declarative_steps(spark, monkeypatch, temperature, side):
-    monkeypatch.setattr(walk, "AGENTS_PER_RUN", 20)
+    monkeypatch.setattr(walk, "AGENTS_PER_STEP", 20)
     p = SimulationParams(vision_depth=5, temperature=temperature)
     rows = random_ground(5, 2)
     cells = spark.createDataFrame(rows, "cell_id long, q int, r int, ord int, friction double, affordance double").withColumn("footprints", F.col("ord") % 7)
