@@ -87,6 +87,18 @@ def test_a_long_way_round_takes_rounds_by_groups_not_cells(spark):
     assert got == set(want.items()) and max(want.values()) > 8 * 250 and len(kept) < 10
 
 
+def test_tables_follow_the_levels_of_a_long_area(spark, monkeypatch):
+    """150 tiles in a row: four levels up and down, no round from group to group."""
+    rows = [(3 * r + q, q, r, 3 * r + q, 1.0 if q or r % 7 else 2.5) for r in range(600) for q in range(3)]
+    kept = []
+    keep = fields.Steps.keep
+    monkeypatch.setattr(fields.Steps, "keep", lambda self, df: kept.append(0) or keep(self, df))
+    dests = spark.createDataFrame([(0,), (901,)], "dest long")
+    got = {tuple(r) for r in fields.gradient(spark.createDataFrame(rows, SCHEMA), dests, 4, 4).collect()}
+    near = neighbours(rows)
+    assert got == {(d, c, x) for d in (0, 901) for c, x in dijkstra(near, d).items()} and len(kept) < 24
+
+
 def test_fields_of_nothing(spark):
     cells = spark.createDataFrame(area(1), SCHEMA)
     none = spark.createDataFrame([], "dest long")
