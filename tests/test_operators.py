@@ -12,6 +12,7 @@ from hexflow.functions import classify as C
 from hexflow.functions import geometry, grid, hashing
 from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, walk, wear
 from hexflow.params import IMPASSABLE, SimulationParams
+from hexflow.plans import catalogue
 from hexflow.sources import geocoder, geojson, tables
 from hexflow.streaming.traces import sessions, windowed_counts
 
@@ -182,7 +183,7 @@ def test_views_are_not_broadcast(spark):
     """A table that a flood gives looks as small as the cells it came from."""
     d = "/root/testdata/sf0.001"
     cells = tables.cells(spark, d)
-    state = cells.withColumn("affordance", F.lit(1.0)).withColumn("footprints", F.lit(0))
+    state = catalogue._trodden(spark, d).select("cell_id", "friction", "affordance", "footprints")
     g = tables.table(spark, d, "part").select(F.lit(3).cast("long").alias("dest"), F.col("p_partkey").alias("cell_id"), F.lit(8).alias("dist8"))
     agents = g.select(F.lit("a").alias("agent"), F.col("cell_id").alias("curr"), "dest", F.lit(0).alias("heading"))
     text = step.candidates(agents, graph.visibility(cells, 2), state, g)._jdf.queryExecution().executedPlan().toString()
@@ -190,7 +191,7 @@ def test_views_are_not_broadcast(spark):
     at = next(i for i, x in enumerate(lines) if "FlatMapGroupsInPandas" in x)
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
     above = [x for i, x in enumerate(lines[:at]) if depth(x) < min(depth(y) for y in lines[i + 1 : at + 1])]
-    assert not any("BroadcastExchange" in x for x in above), text
+    assert len(above) > 5 and not any("BroadcastExchange" in x for x in above), text
 
 
 def test_kernel_step_equals_the_declarative_step(spark):
