@@ -99,6 +99,24 @@ def test_tables_follow_the_levels_of_a_long_area(spark, monkeypatch):
     assert got == {(d, c, x) for d in (0, 901) for c, x in dijkstra(near, d).items()} and len(kept) < 24
 
 
+def test_counts_of_lines_and_judging_by_pieces(spark, monkeypatch):
+    from hexflow.operators import raster
+
+    r = random.Random(5)
+    ends = [tuple(r.randint(-60, 60) for _ in range(4)) for _ in range(300)] + [(1, 2, 1, 2), (-7, -9, 50, 3)] * 2
+    df = spark.createDataFrame(ends, "q0 int, r0 int, q1 int, r1 int")
+    want = {(x.q, x.r): x["count"] for x in raster.segment_cells(df, []).groupBy("q", "r").count().collect()}
+    monkeypatch.setattr(raster, "STEPS", 500)
+    assert {(x.q, x.r): x.n for x in raster.segment_counts(df).collect()} == want
+    rows = area(11, 121, 121, 0.03, (-60, -60))
+    open_ = {(q, k) for _, q, k, _, f in rows if f < IMPASSABLE}
+    asked, cells = [], raster.segment_cells
+    monkeypatch.setattr(raster, "segment_cells", lambda s, *a, **k: asked.append(s.count()) or cells(s, *a, **k))
+    got = {(x.q0, x.r0, x.q1, x.r1): x.clear for x in view.clear_lines(df, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {e: all(c in open_ for c in grid.path_cells(*e)) for e in ends} and True in got.values()
+    assert len(asked) == 4 and asked[0] > asked[1] > 4 * asked[2]  # barred lines are not followed
+
+
 def test_fields_of_nothing(spark):
     cells = spark.createDataFrame(area(1), SCHEMA)
     none = spark.createDataFrame([], "dest long")
