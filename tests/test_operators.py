@@ -179,6 +179,16 @@ def test_walk_invariants(spark, temperature):
     assert all(visits.get((d, 1), 0) >= 1 for d in (30, 50))
 
 
+def test_both_rules_go_through_the_views_once_and_fields_are_not_broadcast(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    g = tables.table(spark, d, "part").select(F.lit(3).cast("long").alias("dest"), F.col("p_partkey").alias("cell_id"), F.lit(8).alias("dist8"))
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(catalogue, "gradients", lambda *_: g)
+    assert plan_of(catalogue.rule_steps(spark, d)).count("FlatMapGroupsInPandas") == 1
+    agents = plan_of(catalogue._agents(spark, d, g))
+    assert agents.count("SortMergeJoin") == 1 and agents.count("HashedRelationBroadcastMode") == 0, agents
+
+
 def test_views_are_not_broadcast(spark):
     """A table that a flood gives looks as small as the cells it came from."""
     d = "/root/testdata/sf0.001"
