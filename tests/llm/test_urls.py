@@ -96,6 +96,18 @@ def test_the_sample_is_bounded_and_weighted(spark, monkeypatch):
     assert sum(len(t) for t in {r.text for r in urls.sampled(df, 0).collect()}) <= 20
 
 
+def test_every_ruled_url_is_counted(spark, monkeypatch):
+    """Whatever ``sampled`` is bounded to, and each repeat of a URL."""
+    monkeypatch.setattr(urls, "SAMPLE", 3)
+    monkeypatch.setattr(urls, "SAMPLE_BYTES", 20)
+    sides = [[f"news.org/fr/{i}" for i in range(40)] + ["hot"] * 30, [f"casino.net/{i}" for i in range(40)]]
+    model = urls.learn(spark.createDataFrame([(t, c, 1) for c in (0, 1) for t in sides[c]], "text string, rejected int, fold int").repartition(4))
+    plain = [Plain(x) for x in sides]
+    probe = ["hot", "news.org/fr/39", "casino.net/17"]
+    for t, x in zip(probe, model.difference(pa.array(probe)), strict=True):
+        assert math.isclose(x, (plain[1].log(t) - plain[0].log(t)) / len(t), abs_tol=1e-9)
+
+
 def test_held_out_rules_are_told_apart(spark):
     """Of the URLs that a rule judges, a third trains no model: the ratio must tell them apart."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
