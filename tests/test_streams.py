@@ -61,3 +61,16 @@ def test_painted_and_removed_surfaces_on_a_stream(rocks, tmp_path):
     assert not query.isActive and query.exception() is None and len(batches) >= 4
     assert {c: v for c, v in now.items() if v[0] is not None} == want
     assert any(v == (None, None) for v in now.values())
+
+
+def test_the_top_of_a_cell_is_found_before_cells_are_joined(spark):
+    """Edits of one rectangle, removed and not, one whose rectangles differ, and ties of draw_order."""
+    from hexflow.streaming.edits import EVENTS, surfaces
+
+    rows = [(1, "paint", 1, 1, "A", 0, 3, 0, 3), (2, "paint", 2, 2, "B", 1, 2, 1, 2), (3, "remove", 2, 2, "B", 1, 2, 1, 2)]
+    rows += [(4, "paint", 3, 5, "C", 0, 1, 0, 0), (5, "remove", 3, 5, "C", 1, 1, 0, 0), (6, "paint", 4, 1, "D", 3, 3, 3, 3), (7, "paint", 5, 9, "E", 3, 2, 0, 0)]
+    cells = spark.createDataFrame([(q * 10 + r, q, r) for q in range(4) for r in range(4)], "cell_id long, q int, r int")
+    out = surfaces(spark.createDataFrame(rows, EVENTS), cells)
+    want = {q * 10 + r: (1, "A") for q in range(4) for r in range(4)} | {0: (3, "C"), 33: (4, "D")}
+    assert {x.cell_id: (x.edit_id, x.surface_class) for x in out.collect()} == want
+    assert "Aggregate(key=[q#" in out._jdf.queryExecution().executedPlan().toString()
