@@ -8,8 +8,10 @@ from collections import deque
 import pytest
 
 from hexflow.functions import grid
-from hexflow.operators import fields, graph, view
+from hexflow.operators import fields, graph, plan, view
 from hexflow.params import IMPASSABLE
+from hexflow.plans import catalogue
+from hexflow.sources import tables
 
 SCHEMA = "cell_id long, q int, r int, ord int, friction double"
 
@@ -67,6 +69,27 @@ def test_fields_equal_a_plain_search(spark, monkeypatch, side, group, block, hol
     assert set(rows_) == want and len(rows_) == len(want)
 
 
+@pytest.mark.parametrize(("side", "group"), [(5, 2), (32, 4)])
+def test_fields_at_some_cells_are_those_of_the_whole(spark, side, group):
+    rows = area(side)
+    near = neighbours(rows)
+    r = random.Random(3)
+    dests, asked = (r.sample([x[0] for x in rows], n) for n in (6, 7))
+    table = lambda ids, c: spark.createDataFrame([(i,) for i in ids], f"{c} long")
+    got = fields.gradient(spark.createDataFrame(rows, SCHEMA), table(dests, "dest"), side, group, at=table([*asked, asked[0], -1, None], "cell_id"))
+    want = sorted((d, c, n) for d in dests if d in near for c, n in dijkstra(near, d).items() if c in asked)
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_pairs_take_the_fields_at_origins_alone(spark, monkeypatch):
+    """Pairs need a distance an origin and destination: no field of the whole area is written for them."""
+    sf, taken, whole = "/root/testdata/sf0.001", [], graph.gradient
+    monkeypatch.setattr(graph, "gradient", lambda *a, **k: taken.append(whole(*a, **k)) or taken[-1])
+    found = catalogue.reachable_od(spark, sf).count()
+    n = tables.nodes(spark, sf)
+    assert found and taken[0].count() <= plan.origins(n).count() * plan.destinations(n).count()
+
+
 def test_a_long_way_round_takes_rounds_by_groups_not_cells(spark):
     """A corridor that winds through every tile: hundreds of cells, few rounds."""
     rows, n = [], 0
