@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.functions import geometry
 from hexflow.functions.classify import classify, friction_of
 from hexflow.params import IMPASSABLE
+from hexflow.sources.shared import written
 
 
 def clamp_weight(weight: Column) -> Column:
@@ -61,20 +64,79 @@ def placement(hits: DataFrame) -> DataFrame:
     return places.join(cost, "place_id", "left").select("place_id", F.coalesce(F.col("f") < IMPASSABLE, F.lit(True)).alias("accessible"))
 
 
+#: Length of the tiles that points and polygons meet in; points or polygons of one task.
+TILE, LOT = 16.0, 4096
+
+
 def pick_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """``point_id, edit_id`` of the topmost polygon (edit_id, draw_order, rings) over each point (point_id, x, y).
 
-    Polygons are dealt to unit tiles by their bbox, so a point meets those of its own tile.
+    Polygons are dealt to tiles by their bbox, so a point meets those of its own tile, in one task: from the top down, only points that no
+    polygon holds yet are tested, and of polygons with the same rings only the topmost.  A crowded tile is several tasks.  A polygon with a null coordinate holds no point.
     """
-    b = geometry.bbox(F.col("rings"))
-    tiles = lambda lo, hi: F.sequence(F.floor(b[lo] / TILE).cast("long"), F.floor(b[hi] / TILE).cast("long"))
-    tiled = polygons.select("edit_id", "draw_order", "rings", F.explode(tiles("x0", "x1")).alias("tx"), b.alias("b")).select("*", F.explode(F.sequence(F.floor(F.col("b.y0") / TILE).cast("long"), F.floor(F.col("b.y1") / TILE).cast("long"))).alias("ty"))
-    at = points.select("point_id", "x", "y", F.floor(F.col("x") / TILE).cast("long").alias("tx"), F.floor(F.col("y") / TILE).cast("long").alias("ty"))
-    hit = at.join(tiled, ["tx", "ty"]).where(geometry.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    tile = lambda c: F.floor(c / TILE).cast("long")
+    at = points.where("x is not null and y is not null").select("point_id", "x", "y", tile(F.col("x")).alias("tx"), tile(F.col("y")).alias("ty"))
+    fine = ~F.exists(F.flatten("rings"), lambda p: p["x"].isNull() | p["y"].isNull())
+    flat = F.flatten(F.transform(F.flatten("rings"), lambda p: F.array(p["x"], p["y"])))
+    sizes = F.transform("rings", lambda g: F.size(g))
+    known = written(polygons.where(fine).select("edit_id", "draw_order", flat.alias("flat"), sizes.alias("sizes"), geometry.bbox(F.col("rings")).alias("b")))  # a box is worked out once
+    area = at.agg(F.min("tx").alias("tx0"), F.max("tx").alias("tx1"), F.min("ty").alias("ty0"), F.max("ty").alias("ty1"))
+    boxed = known.where("b.x0 is not null").crossJoin(F.broadcast(area))  # one row
+    span = lambda a: F.sequence(F.greatest(tile(F.col(f"b.{a}0")), F.col(f"t{a}0")), F.least(tile(F.col(f"b.{a}1")), F.col(f"t{a}1")))
+    meets = [(tile(F.col(f"b.{a}0")) <= F.col(f"t{a}1")) & (tile(F.col(f"b.{a}1")) >= F.col(f"t{a}0")) for a in "xy"]
+    places = boxed.where(meets[0] & meets[1]).select("edit_id", "draw_order", "flat", "sizes", span("x").alias("_xs"), span("y").alias("_ys"))
+    each = lambda df: df.withColumn("tx", F.explode("_xs")).withColumn("ty", F.explode("_ys")).drop("_xs", "_ys")
+
+    lots = lambda df, name: df.groupBy("tx", "ty").agg(F.ceil(F.count("*") / LOT).cast("int").alias(name))
+    crowded = lots(at, "np").join(lots(each(places.select("_xs", "_ys")), "ns"), ["tx", "ty"]).where("np > 1 or ns > 1")
+    crowded = F.broadcast(written(crowded))  # a tile has more than LOT rows to be here
+    one = lambda n: F.coalesce(n, F.lit(1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), one(F.col(n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), one(F.col(n)) - 1))
+    left = at.join(crowded, ["tx", "ty"], "left").withColumn("_p", own("point_id", "np")).withColumn("_s", every("ns"))
+    right = each(places).join(crowded, ["tx", "ty"], "left").withColumn("_s", own("edit_id", "ns")).withColumn("_p", every("np"))
+    keys = ["tx", "ty", "_p", "_s"]
+    types = {f.name: f.dataType.simpleString() for df in (points, polygons) for f in df.schema.fields}
+    out = left.select(*keys, "point_id", "x", "y").groupBy(*keys).cogroup(right.select(*keys, "edit_id", "draw_order", "flat", "sizes").groupBy(*keys))
+    hit = out.applyInPandas(_topmost, ", ".join(f"{c} {types[c]}" for c in ("point_id", "edit_id", "draw_order")))
     return hit.groupBy("point_id").agg(F.max_by("edit_id", F.struct("draw_order", "edit_id")).alias("edit_id"))
 
 
-TILE = 2.0
+def _topmost(points: pd.DataFrame, polygons: pd.DataFrame) -> pd.DataFrame:
+    """The topmost polygon of each point that one holds."""
+    polygons = polygons.sort_values(["draw_order", "edit_id"], ascending=False, na_position="last")
+    x, y = points.x.to_numpy(dtype=float), points.y.to_numpy(dtype=float)
+    free, found, seen = np.arange(len(points)), np.full(len(points), -1), set()
+    for k, (flat, sizes) in enumerate(zip(polygons.flat, polygons.sizes, strict=True)):
+        shape = (flat.tobytes(), sizes.tobytes())
+        if shape in seen:
+            continue
+        seen.add(shape)
+        low, high = flat[1::2].min(), flat[1::2].max()
+        near = free[(y[free] >= low) & (y[free] <= high)]
+        if len(near):
+            found[near[_within(x[near], y[near], flat, sizes)]] = k
+            free = free[found[free] < 0]
+            if not len(free):
+                break
+    got = np.flatnonzero(found >= 0)
+    top = polygons.iloc[found[got]]
+    return pd.DataFrame({"point_id": points.point_id.to_numpy()[got], "edit_id": top.edit_id.to_numpy(), "draw_order": top.draw_order.to_numpy()})
+
+
+def _within(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``geometry.in_polygon`` for many points: within the outer ring and in no hole."""
+    inside, start = np.zeros(len(x), dtype=bool), 0
+    for i, n in enumerate(sizes):
+        ax, ay = flat[2 * start : 2 * (start + n)].reshape(n, 2).T
+        start += n
+        if n > 2:
+            bx, by = np.roll(ax, 1), np.roll(ay, 1)
+            rise = np.where(by == ay, 1.0, by - ay)
+            crosses = ((ay > y[:, None]) != (by > y[:, None])) & (x[:, None] < (bx - ax) * (y[:, None] - ay) / rise + ax)
+            odd = crosses.sum(axis=1) % 2 == 1
+            inside = odd if i == 0 else inside & ~odd
+    return inside
 
 
 def pin_hit(clicks: DataFrame, nodes: DataFrame, pad: float = 0.0) -> DataFrame:

@@ -303,6 +303,28 @@ def test_node_edits(spark):
     assert [tuple(r) for r in nodes.pin_hit(clicks, pins).collect()] == [(1, 0)]
 
 
+@pytest.mark.parametrize("lot", [4096, 7])
+def test_topmost_polygons_equal_a_test_of_every_pair(spark, monkeypatch, lot):
+    """Triangles with holes, the same rings at several heights, equal and missing heights, and points far from all; crowded tiles in several tasks."""
+    from hexflow.functions import geometry
+
+    monkeypatch.setattr(nodes, "LOT", lot)
+    r = random.Random(6)
+    corner = lambda x, y, by: {"x": x + r.uniform(-by, by), "y": y + r.uniform(-by, by)}
+    shapes = [[[corner(x, y, 9) for _ in range(3)], [corner(x, y, 2) for _ in range(4)], [corner(x, y, 1) for _ in range(2)]][: r.choice((1, 2, 3))] for x, y in [(r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(40)]]
+    shapes += [[[{"x": 0.0, "y": 0.0}, {"x": 30.0, "y": None}, {"x": 8.0, "y": 30.0}, {"x": -9.0, "y": 9.0}]], [], None, [[]]]
+    rows = [(i, r.choice((None, *range(8))), r.choice(shapes)) for i in range(150)] + [(200 + i, 9, s) for i, s in enumerate(shapes[-4:])]
+    polygons = spark.createDataFrame(rows, "edit_id long, draw_order long, rings array<array<struct<x: double, y: double>>>")
+    at = [(i, r.uniform(-25, 25), r.uniform(-25, 25)) for i in range(400)] + [(500, None, 1.0), (501, 1e6, 1e6), (3, 0.0, 0.0)]
+    points = spark.createDataFrame(at, "point_id long, x double, y double")
+    every = points.crossJoin(polygons.where("size(rings) > 0 and not exists(flatten(rings), p -> p.y is null)")).where(geometry.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    want = every.groupBy("point_id").agg(F.max_by("edit_id", F.struct("draw_order", "edit_id")).alias("edit_id"))
+    got = nodes.pick_polygon(points, polygons)
+    found = sorted(tuple(x) for x in got.collect())
+    assert len(found) > 100 and found == sorted(tuple(x) for x in want.collect())
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair is tested by an interpreted fold
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(5, 0, 0, 3, 0.5, 1.0)], "cell_id long, q int, r int, score long, affordance double, friction double")
     f = json.loads(geojson.cell_features(rows).first().feature)
