@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hexflow.functions import classify as C
 from hexflow.functions import geometry, grid, hashing
-from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, walk, wear
+from hexflow.operators import edits, friction, graph, nodes, plan, raster, report, step, view, walk, wear
 from hexflow.params import IMPASSABLE, SimulationParams
 from hexflow.plans import catalogue
 from hexflow.sources import geocoder, geojson, tables
@@ -189,6 +189,22 @@ def test_both_rules_go_through_the_views_once_and_fields_are_not_broadcast(spark
     assert agents.count("SortMergeJoin") == 1 and agents.count("HashedRelationBroadcastMode") == 0, agents
 
 
+def test_hops_and_lines_do_not_broadcast_the_cells(spark, monkeypatch):
+    """Hops meet cells by sorted joins, and lines look them up as squares of bits."""
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    d = "/root/testdata/sf0.001"
+    text = plan_of(catalogue._hops(spark, d))
+    assert text.count("SortMergeJoin") == 2 and text.count("BroadcastExchange") == 1, text  # the number of parts, one row
+    kept, keep = [], view.Steps.keep
+    monkeypatch.setattr(view.Steps, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    rows = [(100 * q + r, q - 20, r - 20, 100 * q + r, IMPASSABLE if q == r == 22 else 1.0) for q in range(40) for r in range(40)]
+    cells = spark.createDataFrame(rows, "cell_id long, q int, r int, ord int, friction double")
+    pairs = spark.createDataFrame([(-20, -20, 19, -20), (-1, 2, 7, 2), (2, 2, 2, 2), (-9, -8, -16, -1), (0, 0, 20, 0)], "q0 int, r0 int, q1 int, r1 int")
+    assert [x.clear for x in sorted(view.clear_lines(pairs, cells).collect(), key=lambda x: (x.q0, x.r0))] == [True, True, False, False, False]
+    squares = [t for t in kept if "_open" in t.columns]
+    assert [t.count() for t in squares] == [36]
+
+
 def test_views_are_not_broadcast(spark):
     """A table that a flood gives looks as small as the cells it came from."""
     d = "/root/testdata/sf0.001"
