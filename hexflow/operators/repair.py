@@ -5,7 +5,8 @@ for the old price any more; this spreads along the old shortest ways and no furt
 cells that became easier, take their distances anew from what is left.  Both go tile by tile: a task holds one tile, with a
 rim of its neighbours' cells, for ``BLOCK`` destinations, and what changes on a tile's edge is sent to the tiles that have it
 in their rim.  Rounds follow the number of tiles that the edit's effect crosses; tiles that it doesn't reach are not
-worked on.
+worked on.  An edit whose effect goes further than ``ROUNDS`` tiles, or one that changes a large share of many tiles, leaves little to keep: those
+destinations' fields are worked out anew, by levels (``operators.fields``), which needs no round a tile.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from hexflow.params import IMPASSABLE
 from hexflow.sources.shared import Steps
 
 SIDE, BLOCK = 64, 64
+#: Rounds of one spread; the share of changed tiles, of so many at least, beyond which nothing is repaired.
+ROUNDS, SHARE, MANY = 12, 0.25, 32
 STATE = "tq int, tr int, dest long, at array<int>, dist array<long>, lost array<int>"
 SENT = "s_tq array<int>, s_tr array<int>, s_at array<int>, s_dist array<long>"
 #: The tiles around one.
@@ -34,10 +37,14 @@ def _windowed(cells: DataFrame, side: int) -> DataFrame:
     return out.withColumn("at", ((F.col("q") - F.col("tq") * side + 1) * (side + 2) + F.col("r") - F.col("tr") * side + 1).cast("int"))
 
 
-def _weights(before: DataFrame, after: DataFrame, side: int) -> DataFrame:
-    """A row a tile: its window's cells (at, ids) with what entering cost (w0) and costs (w1), and whether any of its own became harder or easier."""
+def _prices(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What entering each cell cost (w0) and costs (w1), FAR where it is closed."""
     price = lambda df, name: df.where(F.col("friction") < IMPASSABLE).select("cell_id", "q", "r", weight8().cast("long").alias(name))
-    both = price(before, "w0").join(price(after, "w1"), ["cell_id", "q", "r"], "full").na.fill(int(FAR), ["w0", "w1"])
+    return price(before, "w0").join(price(after, "w1"), ["cell_id", "q", "r"], "full").na.fill(int(FAR), ["w0", "w1"])
+
+
+def _weights(both: DataFrame, side: int) -> DataFrame:
+    """A row a tile: its window's cells (at, ids) with what entering cost (w0) and costs (w1), and whether any of its own became harder or easier."""
     own = (F.floor(F.col("q") / side) == F.col("tq")) & (F.floor(F.col("r") / side) == F.col("tr"))
     rows = _windowed(both, side).groupBy(*TILE).agg(
         F.sort_array(F.collect_list(F.struct("at", "w0", "w1", "cell_id"))).alias("c"),  # (side + 2) squared at most
@@ -147,7 +154,13 @@ def repair(gradients: DataFrame, dests: DataFrame, before: DataFrame, after: Dat
     open_ = after.where(F.col("friction") < IMPASSABLE).select(F.col("cell_id").alias("dest"))
     wanted = dests.select("dest").distinct().join(open_, "dest", "left_semi")
     had = gradients.select("dest").distinct()
-    tiles = steps.keep(_weights(before, after, side))
+    prices = steps.keep(_prices(before, after))
+    tile = [F.floor(F.col(c) / side) for c in ("q", "r")]
+    changed, n_tiles = prices.groupBy(*tile).agg(F.max(F.col("w0") != F.col("w1")).alias("c")).agg(F.count_if("c"), F.count("*")).first()
+    if n_tiles >= MANY and changed > SHARE * n_tiles:
+        steps.drop_all()
+        return gradient(after, wanted)
+    tiles = steps.keep(_weights(prices, side))
     places = _windowed(before.where(F.col("friction") < IMPASSABLE).select("cell_id", "q", "r"), side).select("cell_id", *TILE, "at")
     old = gradients.join(wanted, "dest", "left_semi").join(places, "cell_id").groupBy(*TILE, "dest").agg(F.sort_array(F.collect_list(F.struct("at", "dist8"))).alias("c"))
     none = F.array().cast("array<int>")
@@ -179,18 +192,22 @@ def repair(gradients: DataFrame, dests: DataFrame, before: DataFrame, after: Dat
         sent = sent.groupBy(F.col("s.s_tq").alias("tq"), F.col("s.s_tr").alias("tr"), "dest", F.col("s.s_at").alias("at")).agg(F.min("s.s_dist").alias("dist"))
         return steps.keep(sent.join(tiles.select(*TILE), TILE, "left_semi"))
 
-    def spread(active: DataFrame, kernel) -> None:
+    def spread(active: DataFrame, kernel) -> DataFrame:
+        """The destinations that are not through after all rounds."""
         arrivals = None
-        while not active.isEmpty():
+        for _ in range(ROUNDS):
+            if active.isEmpty():
+                break
             arrivals = news(round_(active, arrivals, kernel))
             active = arrivals.select(*TILE, "dest").distinct()
+        return steps.keep(active.select("dest").distinct())
 
     known = packed.select(*TILE, "dest")
-    spread(known.join(tiles.where("harder").select(*TILE), TILE, "left_semi"), _loosened)
+    late = spread(known.join(tiles.where("harder").select(*TILE), TILE, "left_semi"), _loosened)
     touched = known.join(tiles.where("easier").select(*TILE), TILE, "left_semi")
     if len(tables) > 1:
         touched = touched.union(steps.together(tables[1:]).select(*TILE, "dest")).distinct()
-    spread(steps.keep(touched), _settled)
+    late = late.union(spread(steps.keep(touched.join(late, "dest", "left_anti").select(*TILE, "dest")), _settled))
 
     def emitted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -203,9 +220,9 @@ def repair(gradients: DataFrame, dests: DataFrame, before: DataFrame, after: Dat
         i, k = np.nonzero(dist < FAR)
         return pd.DataFrame({"dest": w.dests[i], "cell_id": ids[k], "dist8": dist[i, k]})
 
-    final = steps.together(tables).groupBy(*TILE, "dest").agg(F.max_by(F.struct("at", "dist", "lost"), "round").alias("s")).select(*TILE, "dest", "s.at", "s.dist", "s.lost", block)
+    final = steps.together(tables).join(late, "dest", "left_anti").groupBy(*TILE, "dest").agg(F.max_by(F.struct("at", "dist", "lost"), "round").alias("s")).select(*TILE, "dest", "s.at", "s.dist", "s.lost", block)
     right = tiles.join(final.select(*TILE, F.col("block").alias("block")).distinct(), TILE)
     kept = final.groupBy(*TILE, "block").cogroup(right.groupBy(*TILE, "block")).applyInPandas(emitted, "dest long, cell_id long, dist8 int")
-    out = Steps(spark).keep(kept.union(gradient(after, wanted.join(had, "dest", "left_anti"))))
+    out = Steps(spark).keep(kept.union(gradient(after, wanted.join(had.join(late, "dest", "left_anti"), "dest", "left_anti"))))
     steps.drop_all()
     return out

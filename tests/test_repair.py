@@ -49,3 +49,23 @@ def test_nothing_changed_and_nothing_there(spark):
     check(spark, rows, [], [rows[0][0]], 16)
     check(spark, [], rows, [rows[0][0], rows[1][0]], 16)
     check(spark, rows, rows, [], 16)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_an_edit_that_reaches_far_takes_no_more_rounds(spark, monkeypatch, rounds):
+    """A strip of 40 tiles: its first cells become harder or a gap opens, and every distance from its start changes."""
+    from hexflow.sources.shared import Steps
+
+    monkeypatch.setattr(repair, "ROUNDS", rounds)
+    rows = [(3 * r + q, q, r, 3 * r + q, 1.0) for q in range(3) for r in range(160)]
+    after = [(*x[:4], 4.0 if x[2] == 2 else 2.5 if x[2] == 70 else x[4]) for x in rows]
+    kept, keep = [], Steps.keep
+    monkeypatch.setattr(Steps, "keep", lambda self, df: kept.append(df.columns) or keep(self, df))
+    check(spark, rows, after, [0, 239, 479], 4)
+    assert sum("s_tq" in c and "round" in c for c in kept) <= 1 + 2 * rounds
+
+
+def test_an_edit_of_most_tiles_takes_no_round(spark, monkeypatch):
+    monkeypatch.setattr(repair, "_weights", lambda *_: pytest.fail("tiles are repaired one by one"))
+    rows = [(3 * r + q, q, r, 3 * r + q, 1.0) for q in range(3) for r in range(160)]
+    check(spark, rows, [(*x[:4], 2.5 if x[2] % 8 == 0 else x[4]) for x in rows], [0, 239, 479], 4)
